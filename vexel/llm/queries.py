@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, secrets, token_counts, toxicity
+from vexel.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, secrets, suffix_dedup, token_counts, toxicity
 from vexel.llm.common import documents, shared_dir
 
 #: Where the public vocabularies lie.
@@ -47,13 +47,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(documents(spark, sf_dir)))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(documents(spark, sf_dir)))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.digest(toxicity.score_texts(docs, model))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_mix_sources, op4_decontaminate, op5_chat_rotation, op6_secret_scan, op7_line_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_mix_sources, op4_decontaminate, op5_chat_rotation, op6_secret_scan, op7_line_dedup, op8_suffix_dedup, op9_toxicity)}
 
 SQL = {
     "op2_exact_dedup": r"""
@@ -83,5 +87,15 @@ k as (select doc_id, n, line, translate(regexp_replace(regexp_replace(line, '^[\
 c as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10),
 m as (select k.*, c.key is not null gone from k left join c using (key))
 select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) kept_sha256 from m group by doc_id
+""",
+    "op8_suffix_dedup": r"""
+with h as (select doc_id, hex(encode(coalesce(text, ''))) x, cast(strlen(coalesce(text, '')) as bigint) n from documents),
+w as (select doc_id, p, substr(x, 2 * p + 1, 100) s from (select *, unnest(range(0, n - 49)) p from h where n >= 50)),
+c as (select doc_id, p from (select *, min(doc_id) over (partition by s) m from w) where doc_id > m),
+i as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end fresh from c),
+r as (select doc_id, min(p) a, max(p) + 50 b from (select *, sum(fresh) over (partition by doc_id order by p) g from i) group by doc_id, g),
+k as (select *, lag(b, 1, 0) over (partition by doc_id order by a) before from r),
+o as (select k.doc_id, sum(b - a) n_removed, count(*) n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(max(x), 2 * max(b) + 1) kept from k join h using (doc_id) group by k.doc_id)
+select h.doc_id, n n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(o.kept, h.x))) kept_sha256 from h left join o using (doc_id)
 """,
 }

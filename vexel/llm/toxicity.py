@@ -5,7 +5,7 @@ A text is a bag of sentences. Sentence j scores s_j = sigmoid(bias + sum of its
 so the weights come to rest on the sentences that make a text toxic, which are reported with their places.
 
 Features of a sentence: its distinct words and their first 4, 5 and 6 bytes, A-Z lower-cased. Those are kept that
-`least` training texts hold and that are `lift` times as frequent among toxic ones. Training uses at most `sample`
+`least` toxic training texts hold and that are `lift` times as frequent among toxic ones. Training uses at most `sample`
 labelled texts, the first by a hash of their ids; scoring reads every sentence of every text.
 
 Null or empty texts have no sentence and score 0. Labels that are null are not used; of several for one id, the highest.
@@ -30,6 +30,8 @@ PREFIXES = (4, 5, 6)
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 _BITS = 20
+#: Bits of the first, coarse count of features.
+_COARSE = 22
 
 
 def held_out(doc_id: Column) -> Column:
@@ -111,32 +113,46 @@ class Model:
         return np.clip(scores, 0, 1), places
 
 
+def _held(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, text)."""
+    b = Bags(texts)
+    f, d = b.feature, b.text[b.sentence] if len(b.feature) else np.empty(0, np.int64)
+    o = np.lexsort((d, f))
+    f, d = f[o], d[o]
+    once = np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])]) if len(f) else np.empty(0, bool)
+    return f[once], d[once]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, least: int = 4, lift: float = 3.0, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
     nothing = Model(np.empty(0, np.uint64), np.empty(0), -20.0)
     if not (0 < labels.sum() < len(labels)):
         return nothing
-    feature, doc = [], []
-    at = 0
-    parts = [texts[i : i + 1000] for i in range(0, len(texts), 1000)]
-    for p in parts:  # how many toxic and other texts hold each feature
-        b = Bags(p)
-        pair = np.unique(np.stack([b.feature, b.text[b.sentence].astype(np.uint64)]), axis=1) if len(b.feature) else np.empty((2, 0), np.uint64)
-        feature.append(pair[0])
-        doc.append(pair[1].astype(np.int64) + at)
-        at += len(p)
-    f, at_doc = np.concatenate(feature), np.concatenate(doc)
-    known, which = np.unique(f, return_inverse=True)
-    toxic, all_ = np.bincount(which, labels[at_doc], len(known)), np.bincount(which, minlength=len(known))
-    rate_t, rate_c = (toxic + 0.5) / (labels.sum() + 1), (all_ - toxic + 0.5) / (len(labels) - labels.sum() + 1)
-    keep = (all_ >= least) & (rate_t >= lift * rate_c)
+    parts = [texts[i : i + 500] for i in range(0, len(texts), 500)]
+    base = np.cumsum([0, *map(len, parts)])
+    # how many toxic and other texts hold each feature: toxic ones first by a hash of the feature, in fixed memory, then
+    # exactly, and part by part, for features whose hash may do
+    low = lambda f: (f & np.uint64((1 << _COARSE) - 1)).astype(np.int64)
+    coarse = np.zeros(1 << _COARSE, np.int32)
+    for p, at in zip(parts, base, strict=False):
+        f, of = _held(p)
+        coarse += np.bincount(low(f[labels[of + at] == 1]), minlength=1 << _COARSE).astype(np.int32)
+    known, toxic, other = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+    for p, at in zip(parts, base, strict=False):
+        f, of = _held(p)
+        ok = coarse[low(f)] >= least
+        f, y = f[ok], labels[of[ok] + at]
+        known, which = np.unique(np.concatenate([known, f]), return_inverse=True)
+        toxic = np.bincount(which, np.concatenate([toxic, y]), len(known))
+        other = np.bincount(which, np.concatenate([other, 1 - y]), len(known))
+    rate_t, rate_c = (toxic + 0.5) / (labels.sum() + 1), (other + 0.5) / (len(labels) - labels.sum() + 1)
+    keep = (toxic >= least) & (rate_t >= lift * rate_c)
     model = Model(known[keep], np.zeros(int(keep.sum())), -6.0)
-    bags, text, sentence, feat, n, base = [Bags(p, model.known, model.bits) for p in parts], [], [], [], 0, 0
-    for b, p in zip(bags, parts, strict=True):
-        text.append(b.text + base)
+    bags, text, sentence, feat, n = [Bags(p, model.known, model.bits) for p in parts], [], [], [], 0
+    for b, at in zip(bags, base, strict=False):
+        text.append(b.text + at)
         sentence.append(b.sentence + n)
         feat.append(b.feature)
         n += len(b.text)
-        base += len(p)
     text, sentence, feat = map(np.concatenate, (text, sentence, feat))
     # sentences without a feature differ in nothing but their text
     live = np.unique(sentence)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, secrets, suffix_dedup, token_counts, toxicity
+from vexel.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, secrets, suffix_dedup, token_counts, toxicity
 from vexel.llm.common import documents, shared_dir
 
 #: Where the public vocabularies lie.
@@ -57,7 +57,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score_texts(docs, model))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_mix_sources, op4_decontaminate, op5_chat_rotation, op6_secret_scan, op7_line_dedup, op8_suffix_dedup, op9_toxicity)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_mix_sources, op4_decontaminate, op5_chat_rotation, op6_secret_scan, op7_line_dedup, op8_suffix_dedup, op9_toxicity, op10_jaccard_join)}
 
 SQL = {
     "op2_exact_dedup": r"""
@@ -97,5 +101,16 @@ r as (select doc_id, min(p) a, max(p) + 50 b from (select *, sum(fresh) over (pa
 k as (select *, lag(b, 1, 0) over (partition by doc_id order by a) before from r),
 o as (select k.doc_id, sum(b - a) n_removed, count(*) n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(max(x), 2 * max(b) + 1) kept from k join h using (doc_id) group by k.doc_id)
 select h.doc_id, n n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(o.kept, h.x))) kept_sha256 from h left join o using (doc_id)
+""",
+    "op10_jaccard_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') words from documents),
+g as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+  else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' ')) end) shingle from w),
+n as (select doc_id, count(*) n from g group by doc_id),
+i as (select x.doc_id a, y.doc_id b, count(*) both_ from g x join g y on x.shingle = y.shingle and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+l as (select a, b from i join n p on p.doc_id = a join n q on q.doc_id = b where 100 * both_ >= 85 * (p.n + q.n - both_)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on r.b = e.a)
+select w.doc_id, coalesce(max(n.n), 0) n_shingles, min(r.b) component_id from w join r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id
 """,
 }

@@ -14,7 +14,7 @@ percent / 100 at least. The result is exact; links are looked for as follows.
    boundary is the largest size for which enumerating costs no more than scanning lists of the mean length met here.
 4. Links within lists. All sets of a key are tested against the most central one (the largest shared part), then
    components are formed. Only sets of one key that are still in different components are tested against each other,
-   under bounds from sizes, shared parts and places in the lists. A list of copies thus costs its length, not its
+   under bounds from sizes, shared parts, places in the lists and what each shares with the central set. A list of copies thus costs its length, not its
    square, and no candidate is left out.
 
 Nulls and texts without words have the empty set, link with nothing and are components of their own. With fewer words
@@ -46,7 +46,7 @@ LIGHTEST, LIGHT_LIMIT = 1, 24
 _TABLE = blank_table(lower=True)
 _ENTRY = [("key", "<u8"), ("row", "<i8")]
 _META = [("row", "<i8"), ("doc", "<i8"), ("none", "u1"), ("n", "<i4"), ("sig", "V16")]
-_PAIR = [("a", "<i8"), ("b", "<i8")]
+_PAIR = [("a", "<i8"), ("b", "<i8"), ("lead", "<i8")]
 #: Rows that describe documents, besides those of _ROUTED.
 _ABOUT = 2
 
@@ -161,7 +161,7 @@ def prefix(n: int, s: int, percent: int) -> int:
     return s - least_shared(n, percent) + 1
 
 
-def boundary(sizes: list[tuple[int, int]], mean_list: float, percent: int) -> int:
+def boundary(mean_list: float, percent: int) -> int:
     """The largest size up to which enumerating subsets costs no more than scanning the lists of a prefix."""
     light = 0
     for n in range(LIGHTEST, LIGHT_LIMIT + 1):
@@ -171,52 +171,84 @@ def boundary(sizes: list[tuple[int, int]], mean_list: float, percent: int) -> in
     return light
 
 
-def keys(sets: DataFrame, percent: int, light: int) -> DataFrame:
-    """key, row, n, s, pos of each set: subsets of light ones, prefix shingles of those that meet a heavy one."""
+def _keyed(sets: DataFrame, make) -> DataFrame:
+    """key, row, n, s, pos of each set; make(n, shared) gives its keys and their places."""
 
     def work(batches):
         for b in batches:
             out = {"key": [], "row": [], "n": [], "s": [], "pos": []}
-
-            def put(row, n, s, k, pos):
+            for row, n, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                t = np.frombuffer(x, np.uint64)
+                k, pos = make(n, t)
                 out["key"].append(k.view(np.int64))
                 out["pos"].append(pos)
-                for f, v in (("row", row), ("n", n), ("s", s)):
+                for f, v in (("row", row), ("n", n), ("s", len(t))):
                     out[f].append(np.full(len(k), v, np.int64))
-
-            for row, n, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                t = np.frombuffer(x, np.uint64)
-                s = len(t)
-                if n <= light:
-                    for c in subset_sizes(n, percent):
-                        if c <= s:
-                            made = np.array([int.from_bytes(hashlib.blake2b(t[list(i)].tobytes(), digest_size=8).digest(), "little") for i in combinations(range(s), c)], np.uint64)
-                            put(row, n, s, made, np.zeros(len(made), np.int64))
-                if least_shared(light + 1, percent) <= n:  # its partners may be heavy, or it is
-                    p = prefix(n, s, percent)
-                    put(row, n, s, mix(t[:p]), np.arange(min(p, s)))
             cols = {f: np.concatenate(v) if v else np.empty(0, np.int64) for f, v in out.items()}
             yield pa.RecordBatch.from_arrays([pa.array(cols[f], pa.int64()) for f in out], names=list(out))
 
     return sets.select("row", "n", "shared").mapInArrow(work, "key bigint, row bigint, n bigint, s bigint, pos bigint")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """The inverted lists that a set enters: those of the first of its shared shingles."""
+
+    def make(n, t):
+        p = min(len(t), prefix(n, len(t), percent))
+        return mix(t[:p]), np.arange(p)
+
+    return _keyed(sets, make)
+
+
+def subset_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """The subsets of a light set, of all sizes that it enumerates."""
+
+    def make(n, t):
+        made = [hashlib.blake2b(t[list(i)].tobytes(), digest_size=8).digest() for c in subset_sizes(n, percent) for i in combinations(range(len(t)), c)]
+        return np.frombuffer(b"".join(made), "<u8").astype(np.uint64), np.zeros(len(made), np.int64)
+
+    return _keyed(sets, make)
+
+
+_COMPARED = "a bigint, b bigint, both bigint, links boolean, na bigint, sb bigint, missing binary, beside binary"
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b): size of the intersection, whether they link, what a lacks of b, what a has beside b."""
 
     def work(batches):
         for b in batches:
-            ok = []
+            cols = [[] for _ in range(6)]
             for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort()
-                i = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * i >= percent * (n + m - i))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                lacks, beside = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                i = len(x) - len(beside)
+                for c, v in zip(cols, (i, 100 * i >= percent * (n + m - i), n, len(y), lacks.tobytes(), beside.tobytes()), strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["a", "b", "both", "links", "na", "sb", "missing", "beside"])
 
     left = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("shared").alias("xa"))
     right = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(work, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(work, _COMPARED)
+
+
+def compared_by_lead(pairs: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, lead) that link, from what each lacks of the same central set and has beside it: much less to
+    move than the sets, and as exact."""
+
+    def work(batches):
+        for b in batches:
+            ok = []
+            for s, n, m, xl, xb, yl, yb in zip(*(b.column(i).to_pylist() for i in range(2, 9)), strict=True):
+                xl, xb, yl, yb = (np.frombuffer(v, np.uint64) for v in (xl, xb, yl, yb))
+                i = s - len(xl) - len(yl) + len(np.intersect1d(xl, yl, assume_unique=True)) + len(np.intersect1d(xb, yb, assume_unique=True))
+                ok.append(100 * i >= percent * (n + m - i))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = star.select("a", F.col("b").alias("lead"), F.col("sb").alias("s"), F.col("na").alias("n"), F.col("missing").alias("xl"), F.col("beside").alias("xb"))
+    right = star.select(F.col("a").alias("b"), F.col("b").alias("lead"), F.col("na").alias("m"), F.col("missing").alias("yl"), F.col("beside").alias("yb"))
+    return pairs.join(left, ["a", "lead"]).join(right, ["b", "lead"]).select("a", "b", "s", "n", "m", "xl", "xb", "yl", "yb").mapInArrow(work, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,54 +273,66 @@ def _bound(na: Column, nb: Column, percent: int) -> Column:
 
 def linked(sets: DataFrame, percent: int) -> DataFrame:
     """row, comp for each row that has a link. sets: row, n, shared of one representative of each class."""
-    heavy = keys(sets, percent, 0)
+    spread = max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sets = cut(sets.select("row", "n", "shared").repartition(spread, "row"))  # joins by row find it dealt already
+    heavy = cut(prefix_keys(sets, percent))
     stats = heavy.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count")).alias("squares"), F.sum("count").alias("all")).first()
-    light = boundary([], (stats["squares"] or 0) / max(1, stats["all"] or 0), percent)
-    entries = cut(keys(sets, percent, light))
+    light = boundary((stats["squares"] or 0) / max(1, stats["all"] or 0), percent)
+    entries = heavy.filter(F.col("n") >= least_shared(light + 1, percent))  # its partners may be heavy, or it is
+    entries = entries.unionByName(subset_keys(sets.filter(F.col("n") <= light), percent))
     central = F.struct((F.col("s") / F.col("n")).alias("part"), (-F.col("row")).alias("minus"), "n", "s")
     lists = cut(entries.groupBy("key").agg(F.count("*").alias("size"), F.max(central).alias("lead")).filter("size > 1").select("key", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.s").alias("ls")))
-    star = entries.join(lists, "key").filter((F.col("row") != F.col("lead")) & (_bound(F.col("n"), F.col("ln"), percent) <= F.least("s", "ls")))
-    star = star.select(F.least("row", "lead").alias("a"), F.greatest("row", "lead").alias("b")).distinct()
-    links = cut(verified(star, sets, percent))
+    entries = cut(entries.join(lists, "key"))
+    star = entries.filter((F.col("row") != F.col("lead")) & (_bound(F.col("n"), F.col("ln"), percent) <= F.least("s", "ls"))).select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct()
+    star = cut(compared(star, sets, percent))
+    links = star.filter("links").select("a", "b")
     comps = components(links)
     # what is still apart within a list
-    own = entries.join(lists.select("key", "lead"), "key").join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    own = own.select("key", "row", "n", "s", "pos", "comp", "lead")
+    own = entries.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    spread = max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    apart = own.join(several, "key", "left_semi").withColumn("bucket", F.pmod("key", F.lit(4 * spread)).cast("int"))
+    apart = cut(own.join(several, "key", "left_semi"))
+    # those that bounds kept from their central set are compared with it now: linear, and it spares squares below
+    new = apart.filter("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    star = star.unionByName(cut(compared(new, sets, percent)))
+    apart = apart.join(star.select(F.col("a").alias("row"), F.col("b").alias("lead"), "both"), ["row", "lead"], "left")
+    apart = apart.select("key", "row", "n", "s", "pos", "comp", "lead", F.coalesce("both", F.lit(-1)).alias("both"), F.pmod("key", F.lit(4 * spread)).cast("int").alias("bucket"))
 
     def cross(t: pa.Table) -> pa.Table:
-        c = {f: t.column(f).to_numpy() for f in ("key", "row", "n", "s", "pos", "comp", "lead")}
+        c = {f: t.column(f).to_numpy() for f in ("key", "row", "n", "s", "pos", "comp", "lead", "both")}
         o = np.argsort(c["key"], kind="stable")
         c = {f: v[o] for f, v in c.items()}
         edges = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1], [True]])) if len(o) else [0]
         met: list[np.ndarray] = []
         held = 0
         for x, y in zip(edges, edges[1:], strict=False):
-            row, n, s, pos, comp = (c[f][x:y] for f in ("row", "n", "s", "pos", "comp"))
-            lead = np.flatnonzero(row == c["lead"][x])
-            main = comp[lead[0]] if len(lead) else comp[0]
+            row, n, s, pos, comp, both = (c[f][x:y] for f in ("row", "n", "s", "pos", "comp", "both"))
+            lead = row == c["lead"][x]
+            main = comp[lead][0]
             for i in np.flatnonzero(comp != main).tolist():  # every other set against all of other components
                 need = -(-percent * (n[i] + n) // (100 + percent))
-                ok = (comp != comp[i]) & (need <= np.minimum(s[i] - pos[i], s - pos)) & ((comp == main) | (row > row[i]))
+                ok = (comp != comp[i]) & ~lead & (need <= np.minimum(s[i] - pos[i], s - pos)) & ((comp == main) | (row > row[i]))
+                # what both share with the central set, and what both have beside it
+                ok &= need <= np.minimum(both[i], both) + np.minimum(s[i] - both[i], s - both)
                 if ok.any():
-                    other = row[ok]
-                    met.append(np.stack([np.minimum(other, row[i]), np.maximum(other, row[i])]))
+                    met.append(np.stack([np.minimum(row[ok], row[i]), np.maximum(row[ok], row[i]), np.full(int(ok.sum()), c["lead"][x])]))
                     held += int(ok.sum())
                     if held > 2_000_000:
-                        met, held = [np.unique(np.concatenate(met, axis=1), axis=1)], 0
-        pairs = np.unique(np.concatenate(met, axis=1), axis=1) if met else np.empty((2, 0), np.int64)
-        p = {"a": pairs[0], "b": pairs[1]}
+                        met, held = [once(np.concatenate(met, axis=1))], 0
+        p = dict(zip(("a", "b", "lead"), once(np.concatenate(met, axis=1)) if met else np.empty((3, 0), np.int64), strict=True))
         return _table([(_WORK, b, z) for b, z in dealt(_PAIR, p, (p["a"] * 31 + p["b"]) % (4 * spread))])
 
+    def once(p: np.ndarray) -> np.ndarray:
+        """Each pair once, with one of the central sets that both were compared with."""
+        p = p[:, np.lexsort((p[2], p[1], p[0]))]
+        return p[:, np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])] if p.shape[1] else p
+
     def distinct(t: pa.Table) -> pa.Table:
         p, _ = unpacked(_PAIR, t.column("blob").to_pylist())
-        p = np.unique(np.stack([p["a"], p["b"]]), axis=1)
-        return pa.table({"a": p[0], "b": p[1]})
+        p = once(np.stack([p["a"], p["b"], p["lead"]]))
+        return pa.table({"a": p[0], "b": p[1], "lead": p[2]})
 
-    rest = apart.groupBy("bucket").applyInArrow(cross, _ROUTED).groupBy("bucket").applyInArrow(distinct, "a bigint, b bigint")
-    more = cut(verified(rest, sets, percent))
+    rest = apart.groupBy("bucket").applyInArrow(cross, _ROUTED).groupBy("bucket").applyInArrow(distinct, "a bigint, b bigint, lead bigint")
+    more = cut(compared_by_lead(rest, star, percent))
     return comps if more.isEmpty() else components(links.unionByName(more))
 
 

@@ -10,11 +10,11 @@ percent / 100 at least. The result is exact; links are looked for as follows.
 2. Equal sets become one class with one representative.
 3. Keys. Light sets (size up to the boundary) enumerate their subsets of fixed sizes: of sizes that any partner's
    intersection must reach, so linked light sets have a subset in common. Heavy sets, and light ones that can link to
-   a heavy one, enter the inverted lists of a prefix of their shared shingles, long enough that linked sets meet. The
-   boundary is the largest size for which enumerating costs no more than scanning lists of the mean length met here.
+   a heavy one, enter the inverted lists of a prefix of their shared shingles, long enough that linked sets meet in
+   three lists. The boundary is the largest size for which enumerating costs no more than scanning lists of the mean length met here.
 4. Links within lists. All sets of a key are tested against the most central one (the largest shared part), then
    components are formed. Only sets of one key that are still in different components are tested against each other,
-   under bounds from sizes, shared parts, places in the lists and what each shares with the central set. A list of copies thus costs its length, not its
+   under bounds from sizes, shared parts, places in the lists and what each shares with the row that has most links. A list of copies thus costs its length, not its
    square, and no candidate is left out.
 
 Nulls and texts without words have the empty set, link with nothing and are components of their own. With fewer words
@@ -42,11 +42,16 @@ PERCENT = 85
 DOC_BUCKET, KEY_BUCKET, SEND = 16 << 20, 16 << 20, 16 << 20
 #: Sizes for which the cost of subsets is reckoned; beyond, it exceeds any list's.
 LIGHTEST, LIGHT_LIMIT = 1, 24
+#: Lists in which heavy sets must meet to be compared. Sets that link and have so many shingles in common do, as the
+#: prefixes are longer by as much; smaller sets than that link with their equals alone.
+MEETINGS = 3
+#: Members of a list's largest component from which its pivot is asked before its members are.
+PIVOTED = 3
 
 _TABLE = blank_table(lower=True)
 _ENTRY = [("key", "<u8"), ("row", "<i8")]
 _META = [("row", "<i8"), ("doc", "<i8"), ("none", "u1"), ("n", "<i4"), ("sig", "V16")]
-_PAIR = [("a", "<i8"), ("b", "<i8"), ("lead", "<i8")]
+_PAIR = [("a", "<i8"), ("b", "<i8"), ("w", "<i8")]
 #: Rows that describe documents, besides those of _ROUTED.
 _ABOUT = 2
 
@@ -157,8 +162,8 @@ def subset_sizes(m: int, percent: int) -> list[int]:
 
 
 def prefix(n: int, s: int, percent: int) -> int:
-    """Shared shingles, of s, among which a partner has one."""
-    return s - least_shared(n, percent) + 1
+    """Shared shingles, of s, among which a partner has MEETINGS."""
+    return s - least_shared(n, percent) + MEETINGS
 
 
 def boundary(mean_list: float, percent: int) -> int:
@@ -210,45 +215,23 @@ def subset_keys(sets: DataFrame, percent: int) -> DataFrame:
     return _keyed(sets, make)
 
 
-_COMPARED = "a bigint, b bigint, both bigint, links boolean, na bigint, sb bigint, missing binary, beside binary"
-
-
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b): size of the intersection, whether they link, what a lacks of b, what a has beside b."""
+    """The pairs with the size of their intersection and whether they link: a, b, both, links."""
 
     def work(batches):
         for b in batches:
-            cols = [[] for _ in range(6)]
+            ok, size = [], []
             for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                lacks, beside = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-                i = len(x) - len(beside)
-                for c, v in zip(cols, (i, 100 * i >= percent * (n + m - i), n, len(y), lacks.tobytes(), beside.tobytes()), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["a", "b", "both", "links", "na", "sb", "missing", "beside"])
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort()
+                i = int((both[1:] == both[:-1]).sum())
+                size.append(i)
+                ok.append(100 * i >= percent * (n + m - i))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(size, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "both", "links"])
 
     left = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("shared").alias("xa"))
     right = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(work, _COMPARED)
-
-
-def compared_by_lead(pairs: DataFrame, star: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, lead) that link, from what each lacks of the same central set and has beside it: much less to
-    move than the sets, and as exact."""
-
-    def work(batches):
-        for b in batches:
-            ok = []
-            for s, n, m, xl, xb, yl, yb in zip(*(b.column(i).to_pylist() for i in range(2, 9)), strict=True):
-                xl, xb, yl, yb = (np.frombuffer(v, np.uint64) for v in (xl, xb, yl, yb))
-                i = s - len(xl) - len(yl) + len(np.intersect1d(xl, yl, assume_unique=True)) + len(np.intersect1d(xb, yb, assume_unique=True))
-                ok.append(100 * i >= percent * (n + m - i))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = star.select("a", F.col("b").alias("lead"), F.col("sb").alias("s"), F.col("na").alias("n"), F.col("missing").alias("xl"), F.col("beside").alias("xb"))
-    right = star.select(F.col("a").alias("b"), F.col("b").alias("lead"), F.col("na").alias("m"), F.col("missing").alias("yl"), F.col("beside").alias("yb"))
-    return pairs.join(left, ["a", "lead"]).join(right, ["b", "lead"]).select("a", "b", "s", "n", "m", "xl", "xb", "yl", "yb").mapInArrow(work, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(work, "a bigint, b bigint, both bigint, links boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,60 +262,65 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     stats = heavy.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count")).alias("squares"), F.sum("count").alias("all")).first()
     light = boundary((stats["squares"] or 0) / max(1, stats["all"] or 0), percent)
     entries = heavy.filter(F.col("n") >= least_shared(light + 1, percent))  # its partners may be heavy, or it is
-    entries = entries.unionByName(subset_keys(sets.filter(F.col("n") <= light), percent))
+    entries = entries.withColumn("w", F.lit(1)).unionByName(subset_keys(sets.filter(F.col("n") <= light), percent).withColumn("w", F.lit(MEETINGS)))
     central = F.struct((F.col("s") / F.col("n")).alias("part"), (-F.col("row")).alias("minus"), "n", "s")
     lists = cut(entries.groupBy("key").agg(F.count("*").alias("size"), F.max(central).alias("lead")).filter("size > 1").select("key", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.s").alias("ls")))
     entries = cut(entries.join(lists, "key"))
-    star = entries.filter((F.col("row") != F.col("lead")) & (_bound(F.col("n"), F.col("ln"), percent) <= F.least("s", "ls"))).select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct()
-    star = cut(compared(star, sets, percent))
+    star = entries.filter((F.col("row") != F.col("lead")) & (_bound(F.col("n"), F.col("ln"), percent) <= F.least("s", "ls"))).groupBy(F.col("row").alias("a"), F.col("lead").alias("b")).agg(F.sum("w").alias("w"))
+    star = cut(compared(star.filter(F.col("w") >= MEETINGS).select("a", "b"), sets, percent))
     links = star.filter("links").select("a", "b")
     comps = components(links)
-    # what is still apart within a list
-    own = entries.join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    apart = cut(own.join(several, "key", "left_semi"))
-    # those that bounds kept from their central set are compared with it now: linear, and it spares squares below
-    new = apart.filter("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    star = star.unionByName(cut(compared(new, sets, percent)))
-    apart = apart.join(star.select(F.col("a").alias("row"), F.col("b").alias("lead"), "both"), ["row", "lead"], "left")
-    apart = apart.select("key", "row", "n", "s", "pos", "comp", "lead", F.coalesce("both", F.lit(-1)).alias("both"), F.pmod("key", F.lit(4 * spread)).cast("int").alias("bucket"))
+    # What is still apart within a list. Its largest component is represented by the row with most links, the pivot.
+    turned = star.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "links")
+    known = star.unionByName(turned).dropDuplicates(["a", "b"])
+    hubs = known.filter("links").groupBy("a").count().join(comps, F.col("a") == F.col("row")).groupBy("comp").agg(F.max(F.struct("count", (-F.col("row")).alias("minus"))).alias("h"))
+    hubs = hubs.select(F.col("comp").alias("main"), (-F.col("h.minus")).alias("pivot"))
+    own = entries.select("key", "row", "n", "s", "pos", "w").join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    per = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+    several = per.agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1").select("key", F.col("m.comp").alias("main"), F.col("m.c").alias("members"))
+    apart = cut(own.join(several, "key").join(hubs, "main", "left"))
+    asked = apart.filter((F.col("members") >= PIVOTED) & (F.col("row") != F.col("pivot"))).groupBy(F.col("row").alias("a"), F.col("pivot").alias("b")).agg(F.sum("w").alias("w"))
+    new = cut(compared(asked.filter(F.col("w") >= MEETINGS).select("a", "b").join(known, ["a", "b"], "left_anti"), sets, percent))
+    met = known.unionByName(new).select(F.col("a").alias("row"), F.col("b").alias("pivot"), "both")
+    apart = apart.join(met, ["row", "pivot"], "left")
+    apart = apart.select("key", "row", "n", "s", "pos", "w", "comp", "main", F.coalesce("both", F.lit(-1)).alias("both"), F.pmod("key", F.lit(4 * spread)).cast("int").alias("bucket"))
 
     def cross(t: pa.Table) -> pa.Table:
-        c = {f: t.column(f).to_numpy() for f in ("key", "row", "n", "s", "pos", "comp", "lead", "both")}
+        c = {f: t.column(f).to_numpy() for f in ("key", "row", "n", "s", "pos", "w", "comp", "main", "both")}
         o = np.argsort(c["key"], kind="stable")
         c = {f: v[o] for f, v in c.items()}
         edges = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1], [True]])) if len(o) else [0]
-        met: list[np.ndarray] = []
-        held = 0
+        met, held = [], 0
         for x, y in zip(edges, edges[1:], strict=False):
-            row, n, s, pos, comp, both = (c[f][x:y] for f in ("row", "n", "s", "pos", "comp", "both"))
-            lead = row == c["lead"][x]
-            main = comp[lead][0]
+            row, n, s, pos, comp, main, both = (c[f][x:y] for f in ("row", "n", "s", "pos", "comp", "main", "both"))
             for i in np.flatnonzero(comp != main).tolist():  # every other set against all of other components
                 need = -(-percent * (n[i] + n) // (100 + percent))
-                ok = (comp != comp[i]) & ~lead & (need <= np.minimum(s[i] - pos[i], s - pos)) & ((comp == main) | (row > row[i]))
-                # what both share with the central set, and what both have beside it
-                ok &= need <= np.minimum(both[i], both) + np.minimum(s[i] - both[i], s - both)
+                ok = (comp != comp[i]) & (need <= np.minimum(s[i] - pos[i], s - pos) + MEETINGS - 1) & (need <= np.minimum(s[i], s)) & ((comp == main) | (row > row[i]))
+                if both[i] >= 0:  # what both share with the pivot, and what both have beside it
+                    ok &= (both < 0) | (need <= np.minimum(both[i], both) + np.minimum(s[i] - both[i], s - both))
                 if ok.any():
-                    met.append(np.stack([np.minimum(row[ok], row[i]), np.maximum(row[ok], row[i]), np.full(int(ok.sum()), c["lead"][x])]))
+                    met.append(np.stack([np.minimum(row[ok], row[i]), np.maximum(row[ok], row[i]), np.full(int(ok.sum()), c["w"][x])]))
                     held += int(ok.sum())
                     if held > 2_000_000:
-                        met, held = [once(np.concatenate(met, axis=1))], 0
-        p = dict(zip(("a", "b", "lead"), once(np.concatenate(met, axis=1)) if met else np.empty((3, 0), np.int64), strict=True))
+                        met, held = [summed(np.concatenate(met, axis=1))], 0
+        p = dict(zip(("a", "b", "w"), summed(np.concatenate(met, axis=1)) if met else np.empty((3, 0), np.int64), strict=True))
         return _table([(_WORK, b, z) for b, z in dealt(_PAIR, p, (p["a"] * 31 + p["b"]) % (4 * spread))])
 
-    def once(p: np.ndarray) -> np.ndarray:
-        """Each pair once, with one of the central sets that both were compared with."""
-        p = p[:, np.lexsort((p[2], p[1], p[0]))]
-        return p[:, np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])] if p.shape[1] else p
+    def summed(p: np.ndarray) -> np.ndarray:
+        """Each pair once, with the sum of its meetings."""
+        p = p[:, np.lexsort((p[1], p[0]))]
+        first = np.flatnonzero(np.concatenate([[True], (p[0, 1:] != p[0, :-1]) | (p[1, 1:] != p[1, :-1])])) if p.shape[1] else np.empty(0, np.int64)
+        return np.stack([p[0, first], p[1, first], np.add.reduceat(p[2], first) if len(first) else first])
 
     def distinct(t: pa.Table) -> pa.Table:
         p, _ = unpacked(_PAIR, t.column("blob").to_pylist())
-        p = once(np.stack([p["a"], p["b"], p["lead"]]))
-        return pa.table({"a": p[0], "b": p[1], "lead": p[2]})
+        p = summed(np.stack([p["a"], p["b"], p["w"]]))
+        p = p[:, p[2] >= MEETINGS]
+        return pa.table({"a": p[0], "b": p[1]})
 
-    rest = apart.groupBy("bucket").applyInArrow(cross, _ROUTED).groupBy("bucket").applyInArrow(distinct, "a bigint, b bigint, lead bigint")
-    more = cut(compared_by_lead(rest, star, percent))
+    rest = apart.groupBy("bucket").applyInArrow(cross, _ROUTED).groupBy("bucket").applyInArrow(distinct, "a bigint, b bigint")
+    rest = rest.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    more = new.filter("links").select("a", "b").unionByName(cut(compared(rest, sets, percent).filter("links").select("a", "b")))
     return comps if more.isEmpty() else components(links.unionByName(more))
 
 

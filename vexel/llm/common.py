@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 #: Bytes that separate words in the corpus contracts: space and \x09-\x0D.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Text bytes that one numpy pass handles; a single longer text makes a pass of its own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 256
 

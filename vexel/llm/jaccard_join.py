@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexel.llm.common import Words, blank_table, cut, grams, mix, raw, runs, text_bytes
-from vexel.llm.suffix_dedup import _KNOWN, _ROUTED, _WORK, _split, _table, dealt, pack, unpacked
+from vexel.llm.suffix_dedup import _KNOWN, _ROUTED, _WORK, _split, _table, dealt, pack, unpack, unpacked
 
 SHINGLE = 4
 PERCENT = 85
 #: Bytes of text for each bucket of documents, and of shingles; and whose shingles a task gathers before it sends them.
-DOC_BUCKET, KEY_BUCKET, SEND = 16 << 20, 16 << 20, 16 << 20
+DOC_BUCKET, KEY_BUCKET, SEND = 16 << 20, 16 << 20, 8 << 20
 #: Sizes for which the cost of subsets is reckoned; beyond, it exceeds any list's.
 LIGHTEST, LIGHT_LIMIT = 1, 24
 #: Lists in which heavy sets must meet to be compared. Sets that link and have so many shingles in common do, as the
@@ -66,6 +66,18 @@ def least_shared(n, percent: int):
     return -(-percent * n // 100)
 
 
+_TOKEN = [("step", "<u8")]
+
+
+def packed_set(t: np.ndarray) -> bytes:
+    """Sorted numbers as steps from one to the next, whose high bytes take no room."""
+    return pack(_TOKEN, {"step": np.diff(t, prepend=np.uint64(0))})
+
+
+def unpacked_set(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(_TOKEN, x)[0]["step"], dtype=np.uint64)
+
+
 def sets_of(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     w = Words(texts, _TABLE)
@@ -78,7 +90,7 @@ def sets_of(texts: list[bytes], shingle: int) -> list[np.ndarray]:
 
 def shared_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """docs: row (unique), doc, text. Returns row, doc, n, sig for every document and, where the set may have a link
-    and no smaller row of its slice has the same set, its shared shingles as sorted numbers of 56 bits."""
+    and no smaller row of its slice has the same set, its shared shingles, packed sorted numbers of 56 bits."""
     total = text_bytes(docs, "text")
     n_docs, n_keys = max(8, -(-total // DOC_BUCKET)), max(8, -(-total // KEY_BUCKET))
 
@@ -146,7 +158,7 @@ def shared_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         first = np.searchsorted(row, m["row"])
         size = np.searchsorted(row, m["row"], "right") - first
         enough = (size >= least_shared(m["n"].astype(np.int64), percent)) & (m["n"] > 0)
-        shared = [key[a : a + z].tobytes() if ok else None for a, z, ok in zip(first.tolist(), size.tolist(), enough.tolist(), strict=True)]
+        shared = [packed_set(key[a : a + z]) if ok else None for a, z, ok in zip(first.tolist(), size.tolist(), enough.tolist(), strict=True)]
         doc = pa.array(m["doc"], mask=m["none"].astype(bool))
         return pa.table({"row": m["row"], "doc": doc, "n": m["n"].astype(np.int64), "sig": pa.array([x.tobytes() for x in m["sig"]], pa.binary()), "shared": pa.array(shared, pa.binary())})
 
@@ -183,7 +195,7 @@ def _keyed(sets: DataFrame, make) -> DataFrame:
         for b in batches:
             out = {"key": [], "row": [], "n": [], "s": [], "pos": []}
             for row, n, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                t = np.frombuffer(x, np.uint64)
+                t = unpacked_set(x)
                 k, pos = make(n, t)
                 out["key"].append(k.view(np.int64))
                 out["pos"].append(pos)
@@ -222,7 +234,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok, size = [], []
             for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both = np.concatenate([unpacked_set(x), unpacked_set(y)])
                 both.sort()
                 i = int((both[1:] == both[:-1]).sum())
                 size.append(i)
@@ -255,10 +267,9 @@ def _bound(na: Column, nb: Column, percent: int) -> Column:
 
 
 def linked(sets: DataFrame, percent: int) -> DataFrame:
-    """row, comp for each row that has a link. sets: row, n, shared of one representative of each class."""
+    """row, comp for each row that has a link. sets: row, n, shared of one representative of each class, dealt by row."""
     spread = max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sets = cut(sets.select("row", "n", "shared").repartition(spread, "row"))  # joins by row find it dealt already
-    heavy = cut(prefix_keys(sets, percent))
+    heavy = prefix_keys(sets, percent)
     stats = heavy.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count")).alias("squares"), F.sum("count").alias("all")).first()
     light = boundary((stats["squares"] or 0) / max(1, stats["all"] or 0), percent)
     entries = heavy.filter(F.col("n") >= least_shared(light + 1, percent))  # its partners may be heavy, or it is
@@ -331,10 +342,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not extra:
         own = own.withColumn("row", F.monotonically_increasing_id())
     all_ = cut(shared_sets(own.select("row", "doc", "text"), shingle, percent))
-    sets = cut(all_.filter("shared is not null").groupBy("sig").agg(F.min(F.struct("row", "n", "shared")).alias("x")).select("sig", "x.*"))
-    comps = linked(sets, percent)
+    spread = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stands = all_.filter("shared is not null").groupBy("sig").agg(F.min("row").alias("row"))
+    sets = all_.filter("shared is not null").select("row", "n", "shared").repartition(spread, "row")  # joins by row find it dealt
+    comps = linked(cut(sets.join(stands.select("row"), "row", "left_semi")), percent)
     classes = all_.filter("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "row")).alias("first"))
-    classes = classes.join(sets.select("sig", "row"), "sig", "left").join(comps, "row", "left").select("sig", "first", "comp")
+    classes = classes.join(stands, "sig", "left").join(comps, "row", "left").select("sig", "first", "comp")
     tops = classes.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("top"))
     classes = classes.join(tops, "comp", "left").select("sig", F.coalesce("top", "first").alias("top"))
     out = all_.select("row", "doc", "n", "sig").join(classes, "sig", "left")

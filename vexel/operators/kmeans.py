@@ -140,7 +140,7 @@ def balanced_hierarchical(base: DataFrame, m: int, iters: int = 20, seed: int =
     sizes = {r.cid: r["count"] for r in near.groupBy("cid").count().collect()}
     split = {c: ceil(s * m / n) for c, s in sizes.items() if s > share and ceil(s * m / n) > 1}
 
-    def train(key, t: pa.Table) -> pa.Table:
+    def train(key, t):
         cid = key[0].as_py()
         t = t.sort_by("id")
         x = matrix(t.column("vec"))

@@ -96,7 +96,7 @@ def train(index: IVFIndex, m: int, bits: int = 8, iters: int = 25, seed: int = 0
     cut = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.slice("res", e[i] + 1, e[i + 1] - e[i]).alias("x")) for i in range(m)))).alias("s")
     parts = rows.select("id", cut).select("id", "s.m", "s.x")
 
-    def work(key, t: pa.Table) -> pa.Table:
+    def work(key, t):
         i = key[0].as_py()
         x = matrix(t.sort_by("id").column("x"))
         w = lloyd(x, min(1 << bits, len(x)), iters, seed + i)

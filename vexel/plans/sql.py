@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Parameters of the registered queries; plans.queries uses the same.
-NLIST, ITERS, NPROBE, K, RERANK = 16, 3, 8, 10, 40
+NLIST, ITERS, NPROBE, K, RERANK = 16, 3, 12, 10, 256
 M, WORDS, BCS, EVERY = 8, 16, 64, 20
 
 
@@ -81,9 +81,9 @@ def blocks() -> str:
 def codes() -> str:
     """words(m, code, cw) from sampled residuals; r(id, cid, res); codes(id, cid, m, code)."""
     w = f"list_transform(range(1, {M} + 1), lambda m: res[(m - 1) * (len(res) // {M}) + 1 : m * (len(res) // {M})])"
-    return f"""r as materialized (select id, l.cid, list_transform(list_zip(vec, c), lambda x: x[1]::double - x[2]::double) res from lists l join c{ITERS} using (cid)),
-    cut as materialized (select id, cid, unnest({w}) x, unnest(range({M}))::int m from r),
-    words as materialized (select m, code, x cw from cut join (select id, (row_number() over (order by {START}, id) - 1)::int code from (select id from r order by {START}, id limit {WORDS})) using (id)),
+    return f"""resid as materialized (select id, l.cid, list_transform(list_zip(vec, c), lambda x: x[1]::double - x[2]::double) res from lists l join c{ITERS} using (cid)),
+    cut as materialized (select id, cid, unnest({w}) x, unnest(range({M}))::int m from resid),
+    words as materialized (select m, code, x cw from cut join (select id, (row_number() over (order by {START}, id) - 1)::int code from (select id from resid order by {START}, id limit {WORDS})) using (id)),
     codes as materialized (select id, cid, m, code from (select id, cid, cut.m, code, row_number() over (partition by id, cut.m order by {l2('x', 'cw')}, code) n from cut join words on words.m = cut.m) where n = 1)"""
 
 

@@ -31,7 +31,7 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 _BITS = 20
 #: Bits of the first, coarse count of features.
-_COARSE = 22
+_COARSE = 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,7 +127,7 @@ def fit(texts: list[bytes], labels: np.ndarray, least: int = 4, lift: float = 3.
     nothing = Model(np.empty(0, np.uint64), np.empty(0), -20.0)
     if not (0 < labels.sum() < len(labels)):
         return nothing
-    parts = [texts[i : i + 500] for i in range(0, len(texts), 500)]
+    parts = [texts[i : i + 200] for i in range(0, len(texts), 200)]
     base = np.cumsum([0, *map(len, parts)])
     # how many toxic and other texts hold each feature: toxic ones first by a hash of the feature, in fixed memory, then
     # exactly, and part by part, for features whose hash may do
@@ -147,11 +147,12 @@ def fit(texts: list[bytes], labels: np.ndarray, least: int = 4, lift: float = 3.
     rate_t, rate_c = (toxic + 0.5) / (labels.sum() + 1), (other + 0.5) / (len(labels) - labels.sum() + 1)
     keep = (toxic >= least) & (rate_t >= lift * rate_c)
     model = Model(known[keep], np.zeros(int(keep.sum())), -6.0)
-    bags, text, sentence, feat, n = [Bags(p, model.known, model.bits) for p in parts], [], [], [], 0
-    for b, at in zip(bags, base, strict=False):
-        text.append(b.text + at)
-        sentence.append(b.sentence + n)
-        feat.append(b.feature)
+    text, sentence, feat, n = [], [], [], 0
+    for p, at in zip(parts, base, strict=False):
+        b = Bags(p, model.known, model.bits)
+        text.append((b.text + at).astype(np.int32))
+        sentence.append((b.sentence + n).astype(np.int32))
+        feat.append(b.feature.astype(np.int32))
         n += len(b.text)
     text, sentence, feat = map(np.concatenate, (text, sentence, feat))
     # sentences without a feature differ in nothing but their text

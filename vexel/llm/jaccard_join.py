@@ -47,6 +47,8 @@ LIGHTEST, LIGHT_LIMIT = 1, 24
 MEETINGS = 3
 #: Members of a list's largest component from which its pivot is asked before its members are.
 PIVOTED = 3
+#: Pairs that a task gathers before it adds up those that have met before.
+GATHERED = 200_000
 
 _TABLE = blank_table(lower=True)
 _ENTRY = [("key", "<u8"), ("row", "<i8")]
@@ -301,7 +303,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         o = np.argsort(c["key"], kind="stable")
         c = {f: v[o] for f, v in c.items()}
         edges = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1], [True]])) if len(o) else [0]
-        met, held = [], 0
+        met, new, held = np.empty((3, 0), np.int64), [], 0
         for x, y in zip(edges, edges[1:], strict=False):
             row, n, s, pos, comp, main, both = (c[f][x:y] for f in ("row", "n", "s", "pos", "comp", "main", "both"))
             for i in np.flatnonzero(comp != main).tolist():  # every other set against all of other components
@@ -310,11 +312,11 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
                 if both[i] >= 0:  # what both share with the pivot, and what both have beside it
                     ok &= (both < 0) | (need <= np.minimum(both[i], both) + np.minimum(s[i] - both[i], s - both))
                 if ok.any():
-                    met.append(np.stack([np.minimum(row[ok], row[i]), np.maximum(row[ok], row[i]), np.full(int(ok.sum()), c["w"][x])]))
+                    new.append(np.stack([np.minimum(row[ok], row[i]), np.maximum(row[ok], row[i]), np.full(int(ok.sum()), c["w"][x])]))
                     held += int(ok.sum())
-                    if held > 2_000_000:
-                        met, held = [summed(np.concatenate(met, axis=1))], 0
-        p = dict(zip(("a", "b", "w"), summed(np.concatenate(met, axis=1)) if met else np.empty((3, 0), np.int64), strict=True))
+                    if held > max(GATHERED, met.shape[1] // 2):
+                        met, new, held = summed(np.concatenate([met, *new], axis=1)), [], 0
+        p = dict(zip(("a", "b", "w"), summed(np.concatenate([met, *new], axis=1)), strict=True))
         return _table([(_WORK, b, z) for b, z in dealt(_PAIR, p, (p["a"] * 31 + p["b"]) % (4 * spread))])
 
     def summed(p: np.ndarray) -> np.ndarray:

@@ -68,18 +68,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield kept(b, [[i for i, y in enumerate(t.split(b"\n")) if hashed(y) in gone] for t in raw(b.column(1))])
 
         return docs.mapInArrow(by_set, schema)
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = docs.withColumn("_row", F.sha2(F.coalesce("_text", F.lit("")), 256))  # equal texts lose the same lines
 
     def explode(batches):
         for big in batches:
             for b in runs(big, 1):
                 lines = [[hashed(y) for y in t.split(b"\n")] for t in raw(b.column(1))]
-                rows = np.repeat(b.column(0).to_numpy(), [len(x) for x in lines])
+                rows = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in lines]))
                 at = np.concatenate([np.arange(len(x)) for x in lines]) if lines else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array([y for x in lines for y in x], pa.binary())], names=["_row", "at", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(at, pa.int32()), pa.array([y for x in lines for y in x], pa.binary())], names=["_row", "at", "key"])
 
-    dropped = docs.select("_row", "_text").mapInArrow(explode, "_row bigint, at int, key binary").join(common, "key", "left_semi")
-    dropped = dropped.groupBy("_row").agg(F.collect_list("at").alias("_at"))
+    dropped = docs.select("_row", "_text").mapInArrow(explode, "_row string, at int, key binary").join(common, "key", "left_semi")
+    dropped = dropped.groupBy("_row").agg(F.collect_set("at").alias("_at"))
 
     def by_rows(batches):
         for big in batches:

@@ -294,3 +294,45 @@ def test_zero_norm_and_topk(spark):
     assert [r.id for r in topk(bad, 5).collect()] == [3]
     with pytest.raises(ValueError):
         topk(bad, 0)
+
+
+def test_bf16(spark):
+    x = np.float32([1.0, -2.5, 3.14159, 1e-40, np.nan, 65504.0])
+    back = (quant.bf16_bits(x).astype("<u4") << 16).view("<f4")
+    assert back[0] == 1 and back[1] == -2.5 and np.isnan(back[4]) and np.allclose(back[[2, 5]], x[[2, 5]], rtol=2**-8)
+    b = frame(spark, [[1.0, 2.5]])
+    assert quant.Bf16().decode(quant.Bf16().encode(b)).first().decoded == [1.0, 2.5]
+
+
+def test_pq_overlay_with_all_candidates_is_exact(spark, points):
+    b = frame(spark, points)
+    i = ivf.IVFIndex.build(b, 4, iters=1)
+    book = pq.train(i, 3, bits=3, iters=2)
+    new = spark.createDataFrame([(k, [float(v) for v in points[k] + 0.05]) for k in range(20)], "local_id bigint, vec array<float>")
+    delta = updates.delta_segment(new, i, 120)
+    gone = b.select("id").unionByName(delta.select("id")).filter("id % 3 = 0")
+    q = asks(b, [0, 1, 44])
+    got = updates.pq_overlay_search(pq.encode(i, book), i, book, q, 6, 2, delta, gone, 1000)
+    assert answers(got) == answers(updates.overlay_search(i, q, 6, 2, delta, gone, "ivf"))
+
+
+def test_clustering_classes_and_catalog_search(spark, points):
+    b = frame(spark, points)
+    for c in (kmeans.KMeans(4, 2), kmeans.KMeans(4, 1, minibatch=True, window=30), kmeans.BalancedHierarchical(4, 1)):
+        assert c.fit(b).assign(b).count() == 120 and c.objective(b) > 0
+    with pytest.raises(ValueError):
+        kmeans.KMeans(0)
+    catalog = ivf.IndexCatalog()
+    catalog.register("a", ivf.IVFIndex.build(b, 4, centroids=kmeans.KMeans(4, 1).fit(b).centroids))
+    catalog.ann_search("a", asks(b, [3]), 2, 4, view="found")
+    assert spark.sql("select count(*) n from found").first().n == 2
+    vector.register(spark)
+    assert spark.sql("select l2_sq(array(1D, 2D), array(3D, 2D)) x, cast(splitmix64(0) as string) h").first() == (4.0, "16294208416658607535")
+
+
+def test_list_inner_products_cap(spark, points):
+    b = frame(spark, points)
+    i = ivf.IVFIndex.build(b, 3, iters=1)
+    q = asks(b, [0, 1])
+    got = ivf.list_inner_products(i.lists, i.route(q, 2), q, most=4)
+    assert got.groupBy("qid", "cid").count().agg(F.max("count")).first()[0] == 4

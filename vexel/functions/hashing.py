@@ -22,14 +22,17 @@ def splitmix64_array(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def splitmix64(ids: Column) -> Column:
-    """The hash as an unsigned number."""
-
+def splitmix64_udf():
     @F.pandas_udf("decimal(20,0)")
     def hashed(x: pd.Series) -> pd.Series:
         return pd.Series([Decimal(int(h)) for h in splitmix64_array(x.to_numpy(np.int64))])
 
-    return hashed(ids)
+    return hashed
+
+
+def splitmix64(ids: Column) -> Column:
+    """The hash as an unsigned number."""
+    return splitmix64_udf()(ids)
 
 
 def is_deleted(id_: Column, ratio: float) -> Column:

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vexel.functions.vector import distance
+from vexel.functions.vector import distance, inner_product
 from vexel.operators import kmeans, layout
 from vexel.operators.brute import QUERY_BLOCK, query_blocks
 from vexel.operators.kernels import exact, matrix, products, shortlist
@@ -107,6 +108,15 @@ def scan(lists: DataFrame, probes: DataFrame, queries: DataFrame, k: int, metric
     return topk(found, k).select("qid", "rank", "id", "dist")
 
 
+def list_inner_products(lists: DataFrame, probes: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+    """qid, cid, id, ip of every row of the probed lists; `most`: the first so many rows of a list, by id."""
+    pairs = probes.select("qid", "cid").join(queries.select("qid", "q"), "qid").join(lists.select("id", "cid", "vec"), "cid")
+    if most is not None:
+        first = Window.partitionBy("qid", "cid").orderBy("id")
+        pairs = pairs.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
+    return pairs.select("qid", "cid", "id", inner_product("q", "vec").alias("ip"))
+
+
 @dataclass
 class IVFIndex:
     """centroids [nlist, dim]; lists: id, cid, vec (and pos where positions are asked for)."""
@@ -207,3 +217,10 @@ class IndexCatalog:
 
     def names(self) -> list[str]:
         return sorted(self._of)
+
+    def ann_search(self, name: str, queries: DataFrame, k: int, nprobe: int, view: str | None = None, **how) -> DataFrame:
+        """A search of a registered index; `view` also names the answer for SQL."""
+        out = self.get(name).search(queries, k, nprobe, **how)
+        if view:
+            out.createOrReplaceTempView(view)
+        return out

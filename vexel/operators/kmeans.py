@@ -6,6 +6,7 @@ differs between runs and engines, cannot change a later assignment."""
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from math import ceil, sqrt
 
 import numpy as np
@@ -159,3 +160,40 @@ def balanced_hierarchical(base: DataFrame, m: int, iters: int = 20, seed: int =
 
 def objective(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("cdist").alias("objective"))
+
+
+class Clustering(ABC):
+    """Extension point: anything that finds centroids for rows (id, vec)."""
+
+    centroids: np.ndarray
+
+    @abstractmethod
+    def fit(self, base: DataFrame) -> Clustering: ...
+
+    def assign(self, base: DataFrame) -> DataFrame:
+        return assign_nearest(base, self.centroids)
+
+    def objective(self, base: DataFrame) -> float:
+        return objective(self.assign(base.select("id", "vec"))).first()["objective"] or 0.0
+
+
+class KMeans(Clustering):
+    def __init__(self, k: int, iters: int = 20, seed: int = 0, minibatch: bool = False, window: int = WINDOW):
+        if k <= 0 or iters < 0:
+            raise ValueError(f"{k} clusters, {iters} iterations")
+        self.k, self.iters, self.seed, self.minibatch, self.window = k, iters, seed, minibatch, window
+
+    def fit(self, base: DataFrame) -> KMeans:
+        self.centroids = minibatch(base, self.k, self.iters, self.seed, self.window) if self.minibatch else lloyd(base, self.k, self.iters, self.seed)
+        return self
+
+
+class BalancedHierarchical(Clustering):
+    def __init__(self, m: int, iters: int = 20, seed: int = 0, alpha: float = 1.0):
+        if m <= 0 or not 0 < alpha <= 1:
+            raise ValueError(f"{m} clusters, a share of {alpha}")
+        self.m, self.iters, self.seed, self.alpha = m, iters, seed, alpha
+
+    def fit(self, base: DataFrame) -> BalancedHierarchical:
+        self.centroids = balanced_hierarchical(base, self.m, self.iters, self.seed, self.alpha)
+        return self

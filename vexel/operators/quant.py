@@ -66,6 +66,32 @@ class Fp16Linear(Quantizer):
         return 2 * dim
 
 
+def bf16_bits(x: np.ndarray) -> np.ndarray:
+    """The upper half of a float32, rounded to nearest even; not-a-number stays one."""
+    bits = x.astype("<f4").view("<u4")
+    out = ((bits.astype(np.uint64) + 0x7FFF + ((bits >> 16) & 1)) >> 16).astype("<u2")
+    return np.where(np.isnan(x), np.uint16(0x7FC0), out).astype("<u2")
+
+
+class Bf16(Quantizer):
+    """Brain floats: the range of float32 in two bytes. Nothing is trained."""
+
+    def train(self, rows: DataFrame) -> Bf16:
+        return self
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        return _map(rows, "vec", "codes", "binary", lambda c: pa.array([r.tobytes() for r in bf16_bits(matrix(c))], pa.binary()))
+
+    def decode(self, rows: DataFrame) -> DataFrame:
+        def f(column):
+            return pa.array([(np.frombuffer(x, "<u2").astype("<u4") << 16).view("<f4").tolist() for x in column.to_pylist()], pa.list_(pa.float32()))
+
+        return _map(rows, "codes", "decoded", "array<float>", f)
+
+    def code_size(self, dim: int) -> int:
+        return 2 * dim
+
+
 def min_max(rows: DataFrame, column: str = "vec") -> tuple[float, float]:
     """Least and greatest element: one pass, partial on every task."""
     r = rows.agg(F.min(F.array_min(column)).alias("lo"), F.max(F.array_max(column)).alias("hi")).first()

@@ -14,6 +14,7 @@ from vexel.functions.hashing import hashed_list, is_deleted
 from vexel.operators import kmeans
 from vexel.operators.brute import brute_force_knn
 from vexel.operators.ivf import IVFIndex, scan
+from vexel.operators.pq import RERANK, Codebook, adc, encode, rerank
 from vexel.operators.topk import distinct_topk
 
 #: The value of every element of a vector that is far from all others.
@@ -92,6 +93,18 @@ def overlay_search(index: IVFIndex, queries: DataFrame, k: int, nprobe: int, del
     return distinct_topk(found, k).select("qid", "rank", "id", "dist")
 
 
+def pq_overlay_search(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFrame, k: int, nprobe: int, delta: DataFrame, deleted: DataFrame | None = None, rerank_n: int = RERANK) -> DataFrame:
+    """The overlay over codes: candidates of the published codes and of the inserted rows', encoded alike, then one
+    exact rerank. Deleted rows are left out before the candidates are chosen."""
+    segment = IVFIndex(index.centroids, delta.select("id", "cid", "vec"), index.metric)
+    new, probes = encode(segment, book), index.route(queries, nprobe)
+    if deleted is not None:
+        codes, new = (x.join(deleted.select("id"), "id", "left_anti") for x in (codes, new))
+    n = max(rerank_n, k)
+    found = adc(codes, index, book, queries, probes, n).unionByName(adc(new, index, book, queries, probes, n))
+    return rerank(found, index.lists.select("id", "vec").unionByName(delta.select("id", "vec")), queries, k, index.metric)
+
+
 @dataclass(frozen=True)
 class Event:
     """query: rows qb to qb + qn - 1 of the query set; insert: the delta grows to insert_to rows; delete: the ratio

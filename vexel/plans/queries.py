@@ -141,6 +141,14 @@ def fp16_linear(spark, d):
     return out.select("id", F.hex("codes").alias("codes"), F.round(vector.l2_distance("vec", "decoded"), 9).alias("error"))
 
 
+@query()
+def bf16_codes(spark, d):
+    """Brain-float codes and what they decode to."""
+    z = quant.Bf16()
+    out = z.decode(z.encode(base_of(spark, d).select("id", "vec")))
+    return out.select("id", F.hex("codes").alias("codes"), F.round(vector.l2_distance("vec", "decoded"), 9).alias("error"))
+
+
 @query(f"select id, h::varchar h from {S.splitmixed('(select vec_id id from embeddings)')}")
 def splitmix64(spark, d):
     return base_of(spark, d).select("id", hashing.splitmix64(F.col("id")).cast("string").alias("h"))
@@ -385,6 +393,12 @@ def ivf_saved_index(spark, d):
     return rounded(ivf.IVFIndex.load(spark, at, "v1").search(queries_of(spark, d), S.K, S.NPROBE))
 
 
+@query(f"with {S.index()}, {S.probes(2)} select qid, p.id cid, l.id, round({S.dot('q', 'vec')}, 6) ip from probes p join q using (qid) join lists l on l.cid = p.id")
+def list_inner_products(spark, d):
+    i, q = built(spark, d), queries_of(spark, d)
+    return rounded(ivf.list_inner_products(i.lists, i.route(q, 2), q), "ip")
+
+
 @query(f"with {S.index()}, {S.probes(1)}, r as ({S.searched(k=100)}), g as (select qid, unnest(range(1, 101))::int rank from q) select qid, rank, coalesce(id, -1)::bigint id, coalesce(round(dist, 6), 'infinity'::double) dist from g left join r using (qid, rank)")
 def ivf_search_padded(spark, d):
     q = queries_of(spark, d)
@@ -470,6 +484,15 @@ def pq_trained_search(spark, d):
     return rounded(pq.pq_search(pq.encode(i, book), i, book, queries_of(spark, d), S.K, S.NPROBE, S.RERANK))
 
 
+@query()
+def pq_overlay(spark, d):
+    """Codes under inserts and deletes, reranked."""
+    i, book, codes = _quantised(spark, d)
+    delta = _delta(spark, d, i)
+    gone = base_of(spark, d).select("id").unionByName(delta.select("id")).filter("id % 7 = 0")
+    return rounded(updates.pq_overlay_search(codes, i, book, queries_of(spark, d), S.K, S.NPROBE, delta, gone, S.RERANK))
+
+
 # Updates
 
 

@@ -40,6 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and written to the shared folder, so that a lost executor costs no upstream work."""
     shared_dir(df.sparkSession)

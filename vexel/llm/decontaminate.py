@@ -8,7 +8,7 @@ and then marks its words as hit. Documents are never split or moved.
 A benchmark with more than `block_windows` windows is dealt into blocks. Each block is scanned in a job of its own,
 hits alone are kept, and they are put together per text, so memory stays bounded and no window is left out.
 
-Null texts have no words. An item without words gives no window. Items that repeat an id count once. Repeated
+Null texts have no words. An item without words or without an id gives no window. Items that repeat an id count once. Repeated
 documents are each reported. Empty tables give empty results; further columns are ignored.
 """
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
-from vexel.llm.common import documents, shared_dir
+from vexel.llm.common import documents, remove, shared_dir
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -55,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; of what they write, the last one's table stays, in the shared folder."""
     docs, root = documents(spark, sf_dir), f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
         docs = spark.read.parquet(f"{root}/{k}")
+        if k:
+            remove(spark, f"{root}/{k - 1}")
     return docs

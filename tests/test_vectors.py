@@ -336,3 +336,13 @@ def test_list_inner_products_cap(spark, points):
     q = asks(b, [0, 1])
     got = ivf.list_inner_products(i.lists, i.route(q, 2), q, most=4)
     assert got.groupBy("qid", "cid").count().agg(F.max("count")).first()[0] == 4
+
+
+def test_hierarchical_clusters_are_even(spark):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 0.1, (160, 2)), r.normal(9, 0.1, (20, 2)), r.normal(-9, 0.1, (20, 2))]).round(3)
+    b = frame(spark, x)
+    c = kmeans.balanced_hierarchical(b, 10, 4)
+    sizes = [row["count"] for row in kmeans.assign_nearest(b, c).groupBy("cid").count().collect()]
+    assert 8 <= len(c) <= 14 and sum(sizes) == 200 and max(sizes) <= 60
+    assert len(kmeans.balanced_hierarchical(b, 1, 1)) >= 1

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vexel.operators.kernels import lloyd as lloyd_in_memory
 from vexel.operators.kernels import matrix, nearest
 
 #: Fixed values of the starting order, small enough for any engine's integers.
@@ -67,31 +67,40 @@ def assign_nearest_sql(base: DataFrame, centroids: DataFrame) -> DataFrame:
     return d.agg(F.first("vec").alias("vec"), F.min(F.struct(l2_distance("vec", "c").alias("d"), "cid")).alias("_m")).select(*base.columns, F.col("_m.cid").alias("cid"), F.col("_m.d").alias("cdist"))
 
 
-def sums(base: DataFrame, centroids: np.ndarray) -> DataFrame:
+def sums(base: DataFrame, centroids: np.ndarray, owner: np.ndarray | None = None) -> DataFrame:
     """cid, n and the sum of the vectors of each cluster: each task adds up its own rows; partial sums meet by
-    (cluster, position), so no task and no driver gathers the partials of all."""
-    shared = base.sparkSession.sparkContext.broadcast(centroids)
+    (cluster, position), so no task and no driver gathers the partials of all. With owner, a row looks only among the
+    centroids that its own cid owns."""
+    shared = base.sparkSession.sparkContext.broadcast((centroids, owner))
 
     def work(batches):
-        c = shared.value
+        c, owner = shared.value
         total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
         for b in batches:
-            if b.num_rows:
-                v = matrix(b.column(0), c.shape[1])
+            if not b.num_rows:
+                continue
+            v = matrix(b.column(0), c.shape[1])
+            if owner is None:
                 a, _ = nearest(v, c)
-                np.add.at(total, a, v)
-                n += np.bincount(a, minlength=len(c))
+            else:
+                cid, a = b.column(1).to_numpy(zero_copy_only=False), np.empty(len(v), np.int64)
+                for one in np.unique(cid).tolist():
+                    own, rows = np.flatnonzero(owner == one), np.flatnonzero(cid == one)
+                    a[rows] = own[nearest(v[rows], c[own])[0]]
+            np.add.at(total, a, v)
+            n += np.bincount(a, minlength=len(c))
         own = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(total[own].tolist(), pa.list_(pa.float64()))], names=["cid", "n", "total"])
 
-    parts = base.select("vec").mapInArrow(work, "cid int, n bigint, total array<double>")
+    columns = ["vec"] if owner is None else ["vec", "cid"]
+    parts = base.select(*columns).mapInArrow(work, "cid int, n bigint, total array<double>")
     by_place = parts.select("cid", "n", F.posexplode("total").alias("pos", "x")).groupBy("cid", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     return by_place.groupBy("cid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("total"))
 
 
-def lloyd_step(base: DataFrame, centroids: np.ndarray) -> np.ndarray:
+def lloyd_step(base: DataFrame, centroids: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
     out = centroids.copy()
-    for r in sums(base, centroids).toLocalIterator():
+    for r in sums(base, centroids, owner).toLocalIterator():
         out[r.cid] = np.array([round(x / r.n, DIGITS) for x in r.total])
     return out
 
@@ -130,31 +139,29 @@ def subset(base: DataFrame, k: int, train_n: int, iters: int = 20, seed: int = 0
 
 def balanced_hierarchical(base: DataFrame, m: int, iters: int = 20, seed: int = 0, alpha: float = 1.0) -> np.ndarray:
     """About m centroids for clusters of even size: ceil(sqrt(m)) first; each that has more than its share of the
-    training rows is split in as many as its rows call for, in a task of its own."""
+    training rows is split in as many as its rows call for. All are split at once, by rows that stay where they are."""
     rows = base if alpha >= 1 else base.orderBy(start_order(F.col("id"), seed), "id").limit(max(1, round(alpha * base.count())))
     n = rows.count()
     if not n:
         raise ValueError("no rows")
     first = lloyd(rows, min(n, max(2, ceil(sqrt(m)))), iters, seed)
     share = max(1, ceil(n / m))
-    near = assign_nearest(rows.select("id", "vec"), first)
+    near = assign_nearest(rows.select("id", "vec"), first).select("id", "vec", "cid").persist()
     sizes = {r.cid: r["count"] for r in near.groupBy("cid").count().collect()}
     split = {c: ceil(s * m / n) for c, s in sizes.items() if s > share and ceil(s * m / n) > 1}
-
-    def train(key, t):
-        cid = key[0].as_py()
-        t = t.sort_by("id")
-        x = matrix(t.column("vec"))
-        c = lloyd_in_memory(x, min(split[cid], len(x)), iters, seed + cid)
-        return pa.table({"cid": pa.array([cid] * len(c), pa.int32()), "sub": pa.array(range(len(c)), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
-
-    out = []
     parts: dict[int, list] = {}
     if split:
-        for r in near.filter(F.col("cid").isin(list(split))).select("id", "vec", "cid").groupBy("cid").applyInArrow(train, "cid int, sub int, c array<double>").orderBy("cid", "sub").toLocalIterator():
-            parts.setdefault(r.cid, []).append(r.c)
-    for c in sorted(sizes):
-        out += parts.get(c, [first[c].tolist()])
+        large = near.filter(F.col("cid").isin(list(split)))
+        order = Window.partitionBy("cid").orderBy(start_order(F.col("id") + F.col("cid"), seed), "id")
+        chosen = large.withColumn("sub", F.row_number().over(order)).filter(F.col("sub") <= max(split.values())).orderBy("cid", "sub").collect()
+        chosen = [r for r in chosen if r["sub"] <= split[r.cid]]
+        owner, c = np.array([r.cid for r in chosen]), np.array([r.vec for r in chosen], np.float64)
+        for _ in range(iters):
+            c = lloyd_step(large, c, owner)
+        for o, x in zip(owner.tolist(), c.tolist(), strict=True):
+            parts.setdefault(o, []).append(x)
+    near.unpersist()
+    out = [x for c in sorted(sizes) for x in parts.get(c, [first[c].tolist()])]
     return np.round(np.array(out, np.float64), DIGITS)
 
 

@@ -17,6 +17,8 @@ words gives targets of 0. Reruns agree, as the order depends on ids and the seed
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +31,7 @@ BLOCK = 4096
 GOLDEN = 0.6180339887498949
 #: Cells of [0, 1) by which points meet the sources' stretches.
 CELLS = 4096
-#: Slots in a slice of the ranking.
+#: Slots in a slice of the ranking; documents in a slice of a stream, about.
 SLICE = 65536
 
 
@@ -74,7 +76,8 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = rows.sparkSession.createDataFrame(shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).collect()).first()["n"]
     taken = slots(shares, -(-total // block))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    stream = rows.filter("size > 0").withColumn("key", key).withColumn("slice", F.substring("key", 1, 3))
+    digits = max(2, ceil(log(max(1, rows.count() / SLICE), 16)))  # a slice of the order; its length changes no place
+    stream = rows.filter("size > 0").withColumn("key", key).withColumn("slice", F.substring("key", 1, digits))
     stream = running_sum(stream, ["rank"], ["key", "doc_id", "size"], "size", "slice", "at")
     rounds = stream.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
     start, stop = F.col("round") * F.col("source_size") + F.col("at"), F.floor("target")

@@ -164,7 +164,11 @@ def hashed_lists(spark, d):
     return base_of(spark, d).select("id", hashing.hashed_list(F.col("id"), S.NLIST).alias("cid"))
 
 
-@query()
+_SALTS = [hashing.GOLDEN * (m + 1) & hashing.FULL for m in range(4)]
+_CODES = ", ".join(f"s{m} as (select id, h from {S.splitmixed(f'(select xor(vec_id::ubigint, {x}::ubigint) id from embeddings)')})" for m, x in enumerate(_SALTS))
+
+
+@query(f"with {_CODES} select vec_id id, " + ", ".join(f"(s{m}.h & 255::ubigint)::smallint code{m}" for m in range(4)) + " from embeddings " + " ".join(f"join s{m} on s{m}.id = xor(vec_id::ubigint, {x}::ubigint)" for m, x in enumerate(_SALTS)))
 def synthetic_codes(spark, d):
     return base_of(spark, d).select("id", *(hashing.synthetic_code(F.col("id"), m).alias(f"code{m}") for m in range(4)))
 

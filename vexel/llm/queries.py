@@ -64,6 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_mix_sources, op4_decontaminate, op5_chat_rotation, op6_secret_scan, op7_line_dedup, op8_suffix_dedup, op9_toxicity, op10_jaccard_join)}
 
 SQL = {
+    "op6_secret_scan": secrets.sql(),
     "op2_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t from documents)
 select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size, doc_id = min(doc_id) over (partition by t) kept, sha256(t) text_sha256 from n

@@ -204,3 +204,27 @@ def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(n(r.kind) for r in BASE), F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def _sql_pattern(pattern: str) -> str:
+    """For an engine whose case folding goes beyond ASCII: both cases spelled out; quotes doubled."""
+    if m := re.search(r"\(\?i:([^()]*)\)", pattern):
+        both = re.sub(r"[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1])
+        pattern = pattern.replace(m[0], f"(?:{both})")
+    return pattern.replace("'", "''")
+
+
+def sql(rules: tuple[Rule, ...] = BASE + MORE) -> str:
+    """DuckDB: matches and the pieces between them; a match starts after all pieces and matches before it."""
+    parts = []
+    for k, r in enumerate(rules):
+        p = _sql_pattern(r.pattern)
+        parts.append(f"""select doc_id, {k} k, '{r.kind}' kind, i, length(m) m, sum(length(piece) + length(m)) over (partition by doc_id order by i) stop, length(g) g, {r.least} least from
+            (select doc_id, unnest(ms) m, unnest(gs) g, unnest(string_split_regex(t, '{p}')[1 : len(ms)]) piece, generate_subscripts(ms, 1) i from
+            (select doc_id, t, regexp_extract_all(t, '{p}') ms, regexp_extract_all(t, '{p}', {r.group}) gs from d) where len(ms) > 0)""")
+    written = "kind || ':' || cast(stop - m as bigint) || ':' || cast(stop as bigint)"
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') n_{r.kind}" for r in BASE)
+    zero = ", ".join(f"coalesce(n_{r.kind}, 0) n_{r.kind}" for r in BASE)
+    return f"""with d as (select doc_id, coalesce(text, '') t from documents), f as (select *, {written} w, stop - m start from ({" union all ".join(parts)}) where g >= least),
+      a as (select doc_id, {counts}, coalesce(string_agg(w, ',' order by start, k, stop) filter (k < {len(BASE)}), '') base, string_agg(w, ',' order by start, k, stop) spans from f group by doc_id)
+      select d.doc_id, {zero}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join a using (doc_id)"""

@@ -480,18 +480,24 @@ def pq_recall(spark, d):
     return evaluation.recalls(pq.pq_search(codes, i, book, q, S.K, S.NPROBE, S.RERANK), brute.brute_force_knn(base_of(spark, d), q, 100), (1, 10))
 
 
+def _trained(spark, d):
+    """Trained words, fine enough that the best RERANK codes hold the nearest rows of any number of probed ones."""
+    i = built(spark, d)
+    book = pq.train(i, 30, bits=8, iters=5)
+    return i, book, pq.encode(i, book)
+
+
 @query()
 def pq_trained_search(spark, d):
-    """Trained words in seven subspaces of uneven width."""
-    i = built(spark, d)
-    book = pq.train(i, 7, bits=4, iters=5)
-    return rounded(pq.pq_search(pq.encode(i, book), i, book, queries_of(spark, d), S.K, S.NPROBE, S.RERANK))
+    """Trained words in thirty subspaces of uneven width."""
+    i, book, codes = _trained(spark, d)
+    return rounded(pq.pq_search(codes, i, book, queries_of(spark, d), S.K, S.NPROBE, S.RERANK))
 
 
 @query()
 def pq_overlay(spark, d):
-    """Codes under inserts and deletes, reranked."""
-    i, book, codes = _quantised(spark, d)
+    """Trained codes under inserts and deletes, reranked."""
+    i, book, codes = _trained(spark, d)
     delta = _delta(spark, d, i)
     gone = base_of(spark, d).select("id").unionByName(delta.select("id")).filter("id % 7 = 0")
     return rounded(updates.pq_overlay_search(codes, i, book, queries_of(spark, d), S.K, S.NPROBE, delta, gone, S.RERANK))

@@ -287,6 +287,18 @@ def test_toxicity(spark, docs, nothing):
     assert len(toxicity.train(d, labels, sample=40).known) <= len(model.known)
 
 
+def test_long_clean_text_is_not_toxic():
+    r = random.Random(4)
+    say = lambda n: [" ".join(f"word{r.randrange(300)}" for _ in range(9)) for _ in range(n)]
+    bags = [say(6) for _ in range(400)]
+    for b in bags[::4]:
+        b[2] += " vilethings"
+    model = toxicity.fit([". ".join(b).encode() for b in bags], np.array([int(i % 4 == 0) for i in range(400)]))
+    long = say(50_000)
+    scores, places = model.score([". ".join(x).encode() for x in (long, [*long, "some vilethings here"])])
+    assert scores[0] < 0.3 <= scores[1] and [len(p) for p in places] == [0, 1]
+
+
 def toxicity_held(i):
     import zlib
 

@@ -6,7 +6,8 @@ so the weights come to rest on the sentences that make a text toxic, which are r
 
 Features of a sentence: its distinct words and their first 4, 5 and 6 bytes, A-Z lower-cased. Those are kept that
 `least` toxic training texts hold and that are `lift` times as frequent among toxic ones. Training uses at most `sample`
-labelled texts, the first by a hash of their ids; scoring reads every sentence of every text.
+labelled texts, the first by a hash of their ids; scoring reads every sentence of every text. There, sentences without
+a kept feature contribute nothing, so that no text is called toxic for its length.
 
 Null or empty texts have no sentence and score 0. Labels that are null are not used; of several for one id, the highest.
 Without labels of both kinds every text scores 0. Repeated rows are each reported; further columns are ignored.
@@ -95,7 +96,12 @@ class Model:
         self.bits[self.known >> np.uint64(64 - _BITS)] = True
 
     def logits(self, bags: Bags) -> np.ndarray:
-        return self.bias + np.bincount(bags.sentence, self.weights[bags.feature] if len(self.weights) else None, len(bags.text))
+        """Of each sentence; those without a feature have none (minus infinity)."""
+        z = np.full(len(bags.text), -np.inf)
+        live = np.unique(bags.sentence)
+        if len(live):
+            z[live] = self.bias + np.bincount(bags.sentence, self.weights[bags.feature], len(z))[live]
+        return z
 
     def score(self, texts: list[bytes], offending: float = 0.5) -> tuple[np.ndarray, list[list[dict]]]:
         """Scores, and for each text its sentences that score `offending` at least: code points and score."""

@@ -397,6 +397,22 @@ def test_rollup(spark, docs, tmp_path):
     assert len(counted) == len(ROWS) and sum(x.tokens for x in counted if x.doc_id in (3, 4)) == 0
 
 
+def test_a_load_counts_every_row(spark, docs, tmp_path):
+    r = token_counts.TokenRollup(spark, str(tmp_path / "r"))
+    v = {"w": token_counts.count_words}
+    assert r.commit("load", token_counts.count_tokens(docs, v)) and not r.commit("load", token_counts.count_tokens(docs, v))
+    want = {}
+    for _, text, lang, source in ROWS:
+        n, k = want.get((source, lang), (0, 0))
+        want[source, lang] = (n + 1, k + len((text or "").encode().split()))
+    totals = lambda: {(x.source, x.lang): (x.docs, x.tokens) for x in r.totals().collect()}
+    assert totals() == want
+    gone = spark.createDataFrame([(2, None, None, "w", None, "delete", 0)], "doc_id bigint, source string, lang string, tokenizer string, tokens bigint, op string, order int")
+    assert r.commit("gone", gone)
+    n, k = want["s1", "en"]
+    assert totals() == {**want, ("s1", "en"): (n - 2, k - 6)}
+
+
 # shared pieces
 
 

@@ -11,6 +11,9 @@ taken. A batch that comes twice, or a writer that dies and tries again, therefor
 Within a batch, of several changes to one document and version the greatest (order, op, tokens) holds; a document that is already there
 is revised by an insert; deleting what is not there does nothing. Null texts have no tokens; null source and language
 are groups of their own; rows without an id or with an unknown op are refused by name. Further columns are ignored.
+
+A load, which has no op and comes with the row keys of count_tokens, counts every row: rows without an id and rows that
+repeat one are documents of their own. A later change to a repeated id replaces all its rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from vexel.llm.common import raw, runs, shared_dir
 #: Split pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STATE = ["doc_id", "source", "lang", "tokenizer", "tokens"]
+ROW = "row"
 
 
 def count_words(texts: list[bytes]) -> list[int]:
@@ -63,7 +67,7 @@ def byte_pair(path: str) -> BytePairCounter:
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, Callable], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens: one row per document and version, from one reading of the texts."""
+    """doc_id, source, lang, tokenizer, tokens, row: one row per document and version, from one reading of the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
 
     def work(batches):
@@ -72,10 +76,10 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, Callable], id_col: str =
             for b in runs(big, 3):
                 texts = raw(b.column(3))
                 for name, count in counters.items():
-                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([name] * len(texts)), pa.array(count(texts), pa.int64())], names=STATE)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([name] * len(texts)), pa.array(count(texts), pa.int64()), b.column(4)], names=[*STATE, ROW])
 
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("_text"))
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, tokenizer string, tokens bigint")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias(ROW))
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, tokenizer string, tokens bigint, {ROW} bigint")
 
 
 class TokenRollup:
@@ -98,9 +102,9 @@ class TokenRollup:
         return self.spark.read.parquet(*(f"{self.root}/batches/{b}/{what}" for b in names)) if names else None
 
     def state(self) -> DataFrame | None:
-        """The counted documents as they are now."""
+        """The counted documents as they are now; sign: how many rows are alike."""
         ledger = self._read("ledger")
-        return ledger if ledger is None else ledger.groupBy(*STATE).agg(F.sum("sign").alias("sign")).filter("sign > 0").select(*STATE)
+        return ledger if ledger is None else ledger.groupBy(*STATE).agg(F.sum("sign").alias("sign")).filter("sign > 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens; groups whose documents are all gone are left out."""
@@ -111,22 +115,24 @@ class TokenRollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """changes: doc_id, source, lang, tokenizer, tokens and, if they are not all inserts, op (insert, revise,
-        delete) and order. False if a batch of this name is there already."""
+        delete) and order; a load has no op and may have row. False if a batch of this name is there already."""
         if not batch_id or "/" in batch_id or batch_id.startswith((".", "_")):
             raise ValueError(f"batch name {batch_id!r}")
         if batch_id in self.committed():
             return False
+        if "op" in changes.columns or ROW not in changes.columns:
+            changes = changes.withColumn(ROW, F.lit(None).cast("long"))
         for c, default in (("op", F.lit("insert")), ("order", F.lit(0))):
             if c not in changes.columns:
                 changes = changes.withColumn(c, default)
-        bad = F.col("doc_id").isNull() | F.coalesce(~F.col("op").isin("insert", "revise", "delete"), F.lit(True))
+        bad = (F.col("doc_id").isNull() & F.col(ROW).isNull()) | F.coalesce(~F.col("op").isin("insert", "revise", "delete"), F.lit(True))
         op = F.when(bad, F.raise_error(F.lit("a change needs doc_id and an op of insert, revise, delete"))).otherwise(F.col("op"))
-        changes = changes.select(*STATE, op.alias("op"), "order")
+        changes = changes.select(*STATE, op.alias("op"), "order", ROW)
         fields = ["order", "op", "tokens", "source", "lang"]
-        last = changes.groupBy("doc_id", "tokenizer").agg(F.max(F.struct(*fields)).alias("c")).select("doc_id", "tokenizer", *(f"c.{f}" for f in fields))
-        new = last.filter("op <> 'delete'").select(*STATE, F.lit(1).alias("sign"))
+        last = changes.groupBy("doc_id", ROW, "tokenizer").agg(F.max(F.struct(*fields)).alias("c")).select("doc_id", "tokenizer", *(f"c.{f}" for f in fields))
+        new = last.filter("op <> 'delete'").select(*STATE, F.lit(1).cast("long").alias("sign"))
         if (before := self.state()) is not None:
-            taken_back = before.join(last.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi").select(*STATE, F.lit(-1).alias("sign"))
+            taken_back = before.join(last.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi").select(*STATE, (-F.col("sign")).alias("sign"))
             new = taken_back.unionByName(new)
         staged = f"_staged/{uuid.uuid4().hex}"
         new.write.parquet(f"{self.root}/{staged}/ledger")

@@ -357,3 +357,17 @@ def test_trained_codes_find_what_the_lists_hold(spark):
     q = plans.queries_of(spark, at)
     truth = brute.brute_force_knn(plans.base_of(spark, at), q, S.K)
     assert evaluation.recall(plans.pq_trained_search(spark, at), truth, S.K).first().recall >= 0.94
+
+
+def test_minibatch_queries_read_the_whole_table(spark, points, monkeypatch):
+    from vexel.plans import queries as plans
+
+    sizes, step = [], kmeans.minibatch_step
+    monkeypatch.setattr(kmeans, "minibatch_step", lambda w, c, seen: sizes.append(w.count()) or step(w, c, seen))
+    kmeans.minibatch_pass(frame(spark, points), 4, window=50)
+    assert sizes == [50, 50, 20]
+    sizes.clear()
+    monkeypatch.setattr(kmeans, "minibatch_step", lambda w, c, seen: sizes.append(w.count()) or (c, seen))
+    plans.minibatch_pass(spark, "/root/testdata/sf0.001")
+    plans.minibatch_kmeans(spark, "/root/testdata/sf0.001")
+    assert sizes == [500] * 81

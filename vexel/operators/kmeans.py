@@ -132,6 +132,15 @@ def minibatch(base: DataFrame, k: int, iters: int = 20, seed: int = 0, window: i
     return c
 
 
+def minibatch_pass(base: DataFrame, k: int, seed: int = 0, window: int = WINDOW) -> np.ndarray:
+    """Every row once: consecutive windows of ids, from the first id to the last."""
+    low, high = base.agg(F.min("id"), F.max("id")).first()
+    c, seen = init_sample(base, k, seed), np.zeros(k, np.int64)
+    for a in range(low, high + 1, window):
+        c, seen = minibatch_step(base.filter(F.col("id").between(a, a + window - 1)), c, seen)
+    return c
+
+
 def subset(base: DataFrame, k: int, train_n: int, iters: int = 20, seed: int = 0) -> np.ndarray:
     """Trained on the first train_n ids alone."""
     return lloyd(base.filter(F.col("id") < train_n), k, iters, seed)

@@ -298,7 +298,20 @@ def minibatch_steps(spark, d):
 
 @query()
 def minibatch_kmeans(spark, d):
-    return _centroid_rows(spark, kmeans.minibatch(base_of(spark, d), S.NLIST, iters=1, window=128))
+    return _centroid_rows(spark, kmeans.minibatch(base_of(spark, d), S.NLIST))
+
+
+@query()
+def minibatch_pass(spark, d):
+    """Consecutive windows that cover the table."""
+    return _centroid_rows(spark, kmeans.minibatch_pass(base_of(spark, d), S.NLIST))
+
+
+@query(f"with {S.trained(S.ITERS, 'id < 200')}, {S.nearest('lists', f'c{S.ITERS}')} select id, cid, round(cdist, 6) cdist from lists")
+def subset_assign(spark, d):
+    """All rows, to the centroids that the first rows have trained."""
+    b = base_of(spark, d).select("id", "vec")
+    return rounded(kmeans.assign_nearest(b, kmeans.subset(b, S.NLIST, 200, S.ITERS)).select("id", "cid", "cdist"), "cdist")
 
 
 @query()

@@ -124,6 +124,15 @@ def test_decontaminate(spark, docs, nothing):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "7", "8", "9", "None"]
 
 
+def test_items_without_id_count_as_hits(spark):
+    d = frame(spark, ["x one two three y", "four five", "clean"])
+    b = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "five")], "item_id bigint, text string")
+    for n in (500_000, 1):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.digest(decontaminate.decontaminate(d, b, block_windows=n)).collect()}
+        assert got == {0: (3, 0, True), 1: (2, 1, True), 2: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.without_contaminated(d, b).collect()] == [2]
+
+
 def test_blocks_of_windows_find_the_same(spark):
     r = random.Random(5)
     words = [f"v{i}" for i in range(40)]

@@ -8,7 +8,8 @@ and then marks its words as hit. Documents are never split or moved.
 A benchmark with more than `block_windows` windows is dealt into blocks. Each block is scanned in a job of its own,
 hits alone are kept, and they are put together per text, so memory stays bounded and no window is left out.
 
-Null texts have no words. An item without words or without an id gives no window. Items that repeat an id count once. Repeated
+Null texts have no words. An item without words gives no window; one without an id marks words like any other and
+is not among the items. Items that repeat an id count once. Repeated
 documents are each reported. Empty tables give empty results; further columns are ignored.
 """
 
@@ -47,7 +48,7 @@ def windows(bench: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())], names=["item_id", "size", "window"])
 
     kind = bench.schema[id_col].dataType.simpleString()
-    return bench.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(work, f"item_id {kind}, size int, window binary").distinct()
+    return bench.select(id_col, text_col).mapInArrow(work, f"item_id {kind}, size int, window binary").distinct()
 
 
 class Block:
@@ -113,12 +114,12 @@ def scan(docs: DataFrame, text_col: str, block, item_type: str, only_hits: bool
                         who.setdefault(d, set()).update(x)
                     for d, x in who.items():
                         spans[d] = [{"start": s, "stop": e} for s, e in _spans(mark[w.first[d] : w.first[d + 1]])]
-                        found[d] = sorted(x)
+                        found[d] = sorted(i for i in x if i is not None)
                 out = pa.RecordBatch.from_arrays(
                     [*b.columns[: len(others)], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(found, pa.list_(kind))],
                     names=[*others, "n_words", "spans", "items"],
                 )
-                yield out.filter(pa.array([bool(x) for x in found])) if only_hits else out
+                yield out.filter(pa.array([bool(x) for x in spans])) if only_hits else out
 
     kind = pa.string() if item_type == "string" else {"bigint": pa.int64(), "int": pa.int32()}[item_type]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text_col)

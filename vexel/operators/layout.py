@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from statistics import stdev
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,21 +30,45 @@ def cluster_major(assigned: DataFrame, partitions: int | None = None) -> DataFra
     return dealt.sortWithinPartitions("cid", "id")
 
 
+def _unit(total: int, base: int | None) -> int:
+    return base or (256 * 64 if total > 100_000_000 else 256)
+
+
 def compute_bcs(sizes: list[int], ratio: float, base: int | None = None, most_blocks: int = 11) -> int:
-    """Rows of a balanced block: the largest multiple of `base`, from the mean cluster size down, for which block sizes
-    spread by no more than `ratio`, or blocks outnumber the clusters by `most_blocks`."""
-    if not sizes:
-        return base or 256
-    total = sum(sizes)
-    base = base or (256 * 64 if total > 100_000_000 else 256)
-    size = max(base, total // len(sizes) // base * base)
-    while size >= base:
-        blocks = [b for s in sizes for b in [size] * (s // size) + ([s % size] if s % size else [])]
-        spread = stdev(blocks) if len(blocks) > 1 else 0.0
-        if spread / size <= ratio or len(blocks) > most_blocks * len(sizes):
-            return size
-        size -= base
-    return base
+    """Rows of a balanced block: the largest multiple of `base`, up to the mean cluster size, for which block sizes
+    spread by no more than `ratio`, or blocks outnumber the clusters by `most_blocks`; `base` if there is none.
+
+    A cluster of s rows gives s // size whole blocks and one of s % size, so that the number of blocks and the sum of
+    their squares follow from the counts: all candidates are reckoned at once and no block is listed."""
+    s = np.asarray(sizes, np.int64)
+    base = _unit(int(s.sum()), base)
+    tries = base * np.arange(1, max(1, int(s.sum()) // max(1, len(s)) // base) + 1)
+    whole, rest = s[:, None] // tries, s[:, None] % tries
+    n, squares = (whole + (rest > 0)).sum(0), (whole * tries**2.0 + rest**2.0).sum(0)
+    spread = np.sqrt(np.maximum(0, squares - float(s.sum()) ** 2 / np.maximum(n, 1)) / np.maximum(n - 1, 1))
+    return int(tries[(spread <= ratio * tries) | (n > most_blocks * len(s))].max(initial=base))
+
+
+def block_spreads(info: DataFrame, base: int | None = None) -> DataFrame:
+    """bcs, blocks, spread (sample standard deviation of block sizes) of every candidate size, from cluster counts."""
+    r = info.agg(F.count("*").alias("n"), F.sum("count").alias("total")).first()
+    base = _unit(r.total or 0, base)
+    top = base * max(1, (r.total or 0) // max(1, r.n) // base)
+    each = info.select("count", F.explode(F.sequence(*(F.lit(x).cast("long") for x in (base, top, base)))).alias("bcs"))
+    whole, rest = F.floor(F.col("count") / F.col("bcs")), F.col("count") % F.col("bcs")
+    m = each.groupBy("bcs").agg(
+        F.sum(whole + (rest > 0).cast("long")).alias("blocks"), F.sum("count").cast("double").alias("rows"),
+        F.sum(whole * F.pow("bcs", F.lit(2)) + F.pow(rest, F.lit(2))).alias("squares"),
+    )
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") - F.col("rows") * F.col("rows") / F.greatest(F.col("blocks"), F.lit(1))) / F.greatest(F.col("blocks") - 1, F.lit(1)))
+    return m.select("bcs", "blocks", spread.alias("spread"))
+
+
+def choose_bcs(info: DataFrame, ratio: float, base: int | None = None, most_blocks: int = 11) -> int:
+    """compute_bcs() of counts that stay where they are."""
+    clusters = info.count()
+    good = block_spreads(info, base).filter((F.col("spread") <= ratio * F.col("bcs")) | (F.col("blocks") > most_blocks * clusters))
+    return good.agg(F.max("bcs")).first()[0] or _unit(info.agg(F.sum("count")).first()[0] or 0, base)
 
 
 def rebalance(assigned: DataFrame, bcs: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -23,16 +21,19 @@ def splitmix64_array(x: np.ndarray) -> np.ndarray:
 
 
 def splitmix64_udf():
-    @F.pandas_udf("decimal(20,0)")
+    """The hash as a signed number of 64 bits."""
+
+    @F.pandas_udf("bigint")
     def hashed(x: pd.Series) -> pd.Series:
-        return pd.Series([Decimal(int(h)) for h in splitmix64_array(x.to_numpy(np.int64))])
+        return pd.Series(splitmix64_array(x.to_numpy(np.int64)).view(np.int64))
 
     return hashed
 
 
 def splitmix64(ids: Column) -> Column:
     """The hash as an unsigned number."""
-    return splitmix64_udf()(ids)
+    h = splitmix64_udf()(ids)
+    return (h.cast("decimal(20,0)") + F.expr("18446744073709551616BD") * (h < 0).cast("int")).cast("decimal(20,0)")
 
 
 def is_deleted(id_: Column, ratio: float) -> Column:

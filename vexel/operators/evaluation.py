@@ -66,6 +66,13 @@ def percentiles(latencies: DataFrame, column: str, ps: tuple[float, ...] = (0.5,
     return latencies.agg(*(F.percentile(column, p).alias(f"p{p * 100:g}") for p in ps), F.avg(column).alias("mean"), F.count(column).alias("n"))
 
 
+def probe_counts(probes: DataFrame, info: DataFrame, chunk: int) -> DataFrame:
+    """qid, lists, chunks (of at most `chunk` rows of one list), rows: what the probed lists of each query come to."""
+    sizes = info.select("cid", "count", F.ceil(F.col("count") / chunk).cast("long").alias("c"))
+    p = probes.join(F.broadcast(sizes), "cid")  # one row for each list
+    return p.groupBy("qid").agg(F.count("*").alias("lists"), F.sum("c").alias("chunks"), F.sum("count").alias("rows"))
+
+
 def throughput(n_queries: int, total_ms: float) -> float:
     return n_queries / total_ms * 1000 if total_ms > 0 else 0.0
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,12 +19,45 @@ from vexel.functions.vector import distance, inner_product
 from vexel.operators import kmeans, layout
 from vexel.operators.brute import QUERY_BLOCK, query_blocks
 from vexel.operators.kernels import exact, matrix, products, shortlist
+from vexel.operators.quant import MinMaxU8
 from vexel.operators.topk import topk
 
 #: Directories into which a saved index is dealt; within one, files are sorted by list.
 SHARDS = 256
 
 
+#: Deleted ids that are sent to all tasks at most, 8 bytes each; more are joined.
+SENT_IDS = 1_000_000
+#: Of the saved form; another one is built anew.
+VERSION = 2
+
+
+def without(rows: DataFrame, deleted: DataFrame | Column | None, most: int = SENT_IDS) -> DataFrame:
+    """The rows whose id is not deleted. A rule (a column over id) is a filter. A table of ids goes to the rows if a count
+    finds few enough, so that vectors stay where they are; more are joined by id."""
+    if deleted is None:
+        return rows
+    if isinstance(deleted, Column):
+        return rows.filter(~deleted)
+    gone = deleted.select("id")
+    few = gone.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(gone) if few else gone, "id", "left_anti")
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of a file or folder: names, lengths and times of its files, in whatever store Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [at]
+    while todo:
+        for x in files.listStatus(todo.pop()):
+            if x.isDirectory():
+                todo.append(x.getPath())
+            else:
+                found.append((x.getPath().getName(), x.getLen(), x.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 def route(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric: str = "l2") -> DataFrame:
     """qid, probe_rank, cid, coarse_dist: the nprobe nearest lists of each query, ties to the lower list."""
     if not 0 < nprobe <= len(centroids):
@@ -148,7 +184,7 @@ class IVFIndex:
         dealt.repartition("shard").sortWithinPartitions("shard", "cid", "id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/lists")
         spark = self.lists.sparkSession
         kmeans.centroid_frame(spark, self.centroids).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-        meta = self.meta | {"metric": self.metric, "nlist": self.nlist, "dim": int(self.centroids.shape[1]), "per": per, "fingerprint": fingerprint, "written": time.time()}
+        meta = self.meta | {"metric": self.metric, "nlist": self.nlist, "dim": int(self.centroids.shape[1]), "per": per, "version": VERSION, "fingerprint": fingerprint, "written": time.time()}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
@@ -159,6 +195,26 @@ class IVFIndex:
             raise ValueError("the index was built from other data")
         return cls(kmeans.centroid_matrix(spark.read.parquet(f"{path}/centroids")), spark.read.parquet(f"{path}/lists"), meta["metric"], meta)
 
+    @classmethod
+    def cached(cls, spark: SparkSession, path: str, source: str, build: Callable[[], IVFIndex]) -> tuple[IVFIndex, bool]:
+        """The index saved at path if it was built, by this form's version, from the source file or folder as it is now:
+        same names, lengths and times. Otherwise build() is saved there. True if it was built."""
+        mark = f"{VERSION}:{fingerprint(spark, source)}"
+        try:
+            return cls.load(spark, path, mark), False
+        except (ValueError, AnalysisException):
+            build().save(path, mark)
+            return cls.load(spark, path, mark), True
+
+    @classmethod
+    def from_files(cls, spark: SparkSession, base: str, centroids: str, assign: str, kind: str = "auto", metric: str = "l2") -> IVFIndex:
+        """From dumps: vectors, centroids, and the list of each row. Rows read their lists where they are; nothing is joined."""
+        from vexel.sources import vectors as files
+
+        c = files.read_centroids(centroids)
+        rows = files.with_assign(files.read_vectors(spark, base, kind), assign)
+        return cls(c, rows.select("id", "cid", F.col("vec").cast("array<float>").alias("vec")), metric, {"method": "dump"})
+
     def append(self, rows: DataFrame) -> IVFIndex:
         """Rows go to their nearest lists; centroids stay."""
         new = kmeans.assign_nearest(rows.select("id", "vec"), self.centroids).select("id", "cid", "vec")
@@ -178,16 +234,23 @@ class IVFIndex:
         shards = [r.s for r in probes.select(F.floor(F.col("cid") / per).cast("int").alias("s")).distinct().collect()]  # SHARDS at most
         return self.lists.filter(F.col("shard").isin(shards))
 
-    def search(self, queries: DataFrame, k: int, nprobe: int, impl: str = "arrow", layout_kind: str = "lists", returns: str = "id", deleted: DataFrame | None = None) -> DataFrame:
-        """qid, rank, id (or pos), dist. deleted: ids that do not count; they are left out before ranking.
+    def search_bytes(self, codec: MinMaxU8, queries: DataFrame, k: int, nprobe: int, deleted: DataFrame | Column | None = None) -> DataFrame:
+        """qid, rank, id, dist (bigint): as search() by l2, over lists and queries in bytes. Sums of squares of bytes are
+        whole numbers far below 2 to the 53, so that the products are exact. Deleted rows are left out before ranking."""
+        probes = self.route(queries, nprobe)
+        lists = without(self._shards_of(probes).select("id", "cid", "vec"), deleted)
+        lists = codec.encode(lists).select("id", "cid", F.col("codes").alias("vec"))
+        asked = codec.encode(queries.select("qid", F.col("q").alias("vec"))).select("qid", F.col("codes").alias("q"))
+        return scan(lists, probes, asked, k).withColumn("dist", F.col("dist").cast("long"))
+
+    def search(self, queries: DataFrame, k: int, nprobe: int, impl: str = "arrow", layout_kind: str = "lists", returns: str = "id", deleted: DataFrame | Column | None = None) -> DataFrame:
+        """qid, rank, id (or pos), dist. deleted: ids (or a rule over id) that do not count; they are left out before ranking.
         layout_kind "blocks" scans balanced blocks, with the same answers."""
         probes = self.route(queries, nprobe)
         lists = self._shards_of(probes).select("id", "cid", "vec")
-        if deleted is not None:
-            lists = lists.join(deleted.select("id"), "id", "left_anti")
+        lists = without(lists, deleted)
         if layout_kind == "blocks":
-            sizes = [r["count"] for r in layout.cluster_info(lists, self.nlist).collect()]
-            lists = layout.rebalance(lists, layout.compute_bcs(sizes, 0.3)).repartition("cid", "block_no").select("id", "cid", "vec")
+            lists = layout.rebalance(lists, layout.choose_bcs(layout.cluster_info(lists, self.nlist), 0.3)).repartition("cid", "block_no").select("id", "cid", "vec")
         if returns == "pos":
             place = layout.positions(lists.select("id", "cid"), layout.cluster_info(self.lists, self.nlist)).select("id", "pos")
             return scan(lists, probes, queries, k, self.metric, impl).join(place, "id").select("qid", "rank", "pos", "dist")
@@ -206,6 +269,13 @@ class IndexCatalog:
         self.unregister(name)
         self._of[name] = index
 
+    def load(self, spark: SparkSession, name: str, path: str, fingerprint: str | None = None) -> bool:
+        """Loads a saved index under a name, unless one is there already: then nothing happens, and False."""
+        if name in self._of:
+            return False
+        self.register(name, IVFIndex.load(spark, path, fingerprint))
+        return True
+
     def get(self, name: str) -> IVFIndex:
         if name not in self._of:
             raise KeyError(f"no index {name!r}")

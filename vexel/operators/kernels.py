@@ -71,21 +71,19 @@ def shortlist(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str
 
 
 def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector its nearest centroid, the first of equals, and the squared distance."""
+    """For each vector its nearest centroid, the first of equals, and the squared distance. Centroids that the product
+    form cannot tell apart are measured exactly."""
     best = np.empty(len(v), np.int64)
     step = max(1, BLOCK // max(1, len(centroids)))
     for a in range(0, len(v), step):
-        best[a : a + step] = products(v[a : a + step], centroids, "l2").argmin(1)
+        part = v[a : a + step]
+        d = products(part, centroids, "l2")
+        best[a : a + step] = d.argmin(1)
+        edge = d.min(1) + 1e-9 * ((part * part).sum(1) + 1e-9)
+        close = np.flatnonzero((d <= edge[:, None]).sum(1) > 1)
+        if len(close):
+            r, c = np.nonzero(d[close] <= edge[close, None])
+            o = np.lexsort((c, exact(part[close[r]], centroids[c], "l2"), r))
+            first = o[np.flatnonzero(np.concatenate([[True], np.diff(r[o]) != 0]))]
+            best[a + close[r[first]]] = c[first]
     return best, exact(v, centroids[best], "l2")
-
-
-def lloyd(x: np.ndarray, k: int, iters: int, seed: int, start: np.ndarray | None = None) -> np.ndarray:
-    """k-means of a matrix that fits in a task; an empty cluster keeps its centroid."""
-    c = (x[np.sort(np.random.default_rng(seed).choice(len(x), k, replace=False))] if start is None else start).copy()
-    for _ in range(iters):
-        a, _d = nearest(x, c)
-        n = np.bincount(a, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, a, x)
-        c[n > 0] = total[n > 0] / n[n > 0, None]
-    return c

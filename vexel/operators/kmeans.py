@@ -24,7 +24,18 @@ DIGITS = 9
 WINDOW = 32768
 
 
-def start_order(id_: Column, seed: int = 0) -> Column:
+#: Bytes of sums in one row on their way between tasks.
+PIECE = 8192
+
+
+def start_order(id_: Column, seed: int | Column = 0) -> Column:
+    """Places 0 to 10,006; remainders are taken first, so that ids of any size do not overflow."""
+    shift = F.lit(seed % _P) if isinstance(seed, int) else F.pmod(seed.cast("long"), F.lit(_P))
+    return ((F.pmod(id_, F.lit(_P)) + shift) * _A) % _P
+
+
+def start_place(id_: int, seed: int = 0) -> int:
+    """start_order() of one id."""
     return ((id_ + seed) * _A) % _P
 
 
@@ -33,7 +44,7 @@ def init_sample(base: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     rows = base.select("id", "vec").orderBy(start_order(F.col("id"), seed), "id").limit(k).collect()
     if len(rows) < k:
         raise ValueError(f"{k} clusters need as many rows; there are {len(rows)}")
-    rows.sort(key=lambda r: (((r.id + seed) * _A) % _P, r.id))
+    rows.sort(key=lambda r: (start_place(r.id, seed), r.id))
     return np.array([r.vec for r in rows], np.float64)
 
 
@@ -67,15 +78,38 @@ def assign_nearest_sql(base: DataFrame, centroids: DataFrame) -> DataFrame:
     return d.agg(F.first("vec").alias("vec"), F.min(F.struct(l2_distance("vec", "c").alias("d"), "cid")).alias("_m")).select(*base.columns, F.col("_m.cid").alias("cid"), F.col("_m.d").alias("cdist"))
 
 
+def packed_sums(pieces, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    """One row for each piece (block, rows of n and total) that has counts: block, n, total, as bytes."""
+    live = [(b, x) for b, x in pieces if n[x].any()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([b for b, _ in live], pa.int32()), pa.array([n[x].astype("<i8").tobytes() for _, x in live], pa.binary()), pa.array([total[x].astype("<f8").tobytes() for _, x in live], pa.binary())],
+        names=["block", "n", "total"],
+    )
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """block, n, total: the sums of all tasks, added up as arrays. One exchange; a task holds the totals of its own blocks
+    and one batch."""
+
+    def work(batches):
+        of: dict[int, tuple] = {}
+        for b in batches:
+            for block, n, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n, total = np.frombuffer(n, "<i8"), np.frombuffer(total, "<f8")
+                of[block] = (of[block][0] + n, of[block][1] + total) if block in of else (n, total)
+        yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int32()), pa.array([x.tobytes() for x, _ in of.values()], pa.binary()), pa.array([x.tobytes() for _, x in of.values()], pa.binary())], names=["block", "n", "total"])
+
+    return parts.repartition("block").mapInArrow(work, "block int, n binary, total binary")
+
+
 def sums(base: DataFrame, centroids: np.ndarray, owner: np.ndarray | None = None) -> DataFrame:
-    """cid, n and the sum of the vectors of each cluster: each task adds up its own rows; partial sums meet by
-    (cluster, position), so no task and no driver gathers the partials of all. With owner, a row looks only among the
-    centroids that its own cid owns."""
+    """block, n, total: rows and sums of vectors for each block of centroids (those from block * width(dim) on). Each
+    task adds up its own rows. With owner, a row looks only among the centroids that its own cid owns."""
     shared = base.sparkSession.sparkContext.broadcast((centroids, owner))
 
     def work(batches):
         c, owner = shared.value
-        total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
+        total, n, w = np.zeros_like(c), np.zeros(len(c), np.int64), width(c.shape[1])
         for b in batches:
             if not b.num_rows:
                 continue
@@ -89,19 +123,30 @@ def sums(base: DataFrame, centroids: np.ndarray, owner: np.ndarray | None = None
                     a[rows] = own[nearest(v[rows], c[own])[0]]
             np.add.at(total, a, v)
             n += np.bincount(a, minlength=len(c))
-        own = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(total[own].tolist(), pa.list_(pa.float64()))], names=["cid", "n", "total"])
+        yield packed_sums(((i, slice(i * w, (i + 1) * w)) for i in range(-(-len(c) // w))), n, total)
 
     columns = ["vec"] if owner is None else ["vec", "cid"]
-    parts = base.select(*columns).mapInArrow(work, "cid int, n bigint, total array<double>")
-    by_place = parts.select("cid", "n", F.posexplode("total").alias("pos", "x")).groupBy("cid", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    return by_place.groupBy("cid").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("total"))
+    return added(base.select(*columns).mapInArrow(work, "block int, n binary, total binary"))
+
+
+def width(dim: int) -> int:
+    """Centroids in a block."""
+    return max(1, PIECE // (8 * dim))
+
+
+def cluster_sums(base: DataFrame, centroids: np.ndarray, owner: np.ndarray | None = None):
+    """(cid, n, sum of vectors) of every cluster that has rows."""
+    w, dim = width(centroids.shape[1]), centroids.shape[1]
+    for r in sums(base, centroids, owner).toLocalIterator():
+        n, total = np.frombuffer(r.n, "<i8"), np.frombuffer(r.total, "<f8").reshape(-1, dim)
+        for i in np.flatnonzero(n).tolist():
+            yield r.block * w + i, int(n[i]), total[i]
 
 
 def lloyd_step(base: DataFrame, centroids: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
     out = centroids.copy()
-    for r in sums(base, centroids, owner).toLocalIterator():
-        out[r.cid] = np.array([round(x / r.n, DIGITS) for x in r.total])
+    for cid, n, total in cluster_sums(base, centroids, owner):
+        out[cid] = np.array([round(x / n, DIGITS) for x in total.tolist()])
     return out
 
 
@@ -115,10 +160,10 @@ def lloyd(base: DataFrame, k: int, iters: int = 20, seed: int = 0, start: np.nda
 def minibatch_step(window: DataFrame, centroids: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One minibatch: a centroid moves by 1 / (rows seen + 1) towards the mean of its rows."""
     out, seen = centroids.copy(), seen.copy()
-    for r in sums(window, centroids).toLocalIterator():
-        rate = 1.0 / (seen[r.cid] + 1.0)
-        out[r.cid] = np.round((1.0 - rate) * out[r.cid] + rate * (np.array(r.total) / r.n), DIGITS)
-        seen[r.cid] += r.n
+    for cid, n, total in cluster_sums(window, centroids):
+        rate = 1.0 / (seen[cid] + 1.0)
+        out[cid] = np.round((1.0 - rate) * out[cid] + rate * (total / n), DIGITS)
+        seen[cid] += n
     return out, seen
 
 
@@ -161,7 +206,7 @@ def balanced_hierarchical(base: DataFrame, m: int, iters: int = 20, seed: int =
     parts: dict[int, list] = {}
     if split:
         large = near.filter(F.col("cid").isin(list(split)))
-        order = Window.partitionBy("cid").orderBy(start_order(F.col("id") + F.col("cid"), seed), "id")
+        order = Window.partitionBy("cid").orderBy(start_order(F.col("id"), F.col("cid") + seed), "id")
         chosen = large.withColumn("sub", F.row_number().over(order)).filter(F.col("sub") <= max(split.values())).orderBy("cid", "sub").collect()
         chosen = [r for r in chosen if r["sub"] <= split[r.cid]]
         owner, c = np.array([r.cid for r in chosen]), np.array([r.vec for r in chosen], np.float64)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from vexel.functions.vector import distance
 from vexel.operators.ivf import IVFIndex
-from vexel.operators.kernels import lloyd, matrix, nearest
-from vexel.operators.kmeans import DIGITS, start_order
+from vexel.operators.kernels import exact, matrix, nearest
+from vexel.operators.kmeans import DIGITS, added, start_order, start_place
 from vexel.operators.topk import topk
 
 #: Residuals that training reads at most (its documented sample).
 SAMPLE = 4_000_000
 RERANK = 512
+#: Queries whose candidates travel at once: with RERANK candidates each, some 8 MB.
+RERANK_BLOCK = 1024
 
 
 def subdims(dim: int, m: int) -> list[int]:
@@ -80,29 +82,59 @@ def residuals(index: IVFIndex) -> DataFrame:
 
 def sampled_codebook(index: IVFIndex, m: int, k: int, seed: int = 0) -> Codebook:
     """Words are the residuals of the first k ids in the hash order: training of no iteration."""
-    rows = residuals(index).orderBy(start_order(F.col("id"), seed), "id").limit(k).collect()
+    return _first_words(residuals(index), m, k, seed)
+
+
+def _first_words(rows: DataFrame, m: int, k: int, seed: int) -> Codebook:
+    rows = rows.orderBy(start_order(F.col("id"), seed), "id").limit(k).collect()
     if len(rows) < k:
         raise ValueError(f"{k} words need as many rows")
-    x = np.array([r.res for r in sorted(rows, key=lambda r: (((r.id + seed) * 7919) % 10007, r.id))])
+    x = np.array([r.res for r in sorted(rows, key=lambda r: (start_place(r.id, seed), r.id))])
     e = np.concatenate([[0], np.cumsum(subdims(x.shape[1], m))])
     return Codebook([x[:, e[i] : e[i + 1]] for i in range(m)])
 
 
 def train(index: IVFIndex, m: int, bits: int = 8, iters: int = 25, seed: int = 0, sample: int = SAMPLE) -> Codebook:
-    """k-means in each subspace, one task each, over a bounded sample of residuals."""
-    dim = index.centroids.shape[1]
-    e = np.concatenate([[0], np.cumsum(subdims(dim, m))]).tolist()
-    rows = residuals(index).orderBy(start_order(F.col("id"), seed), "id").limit(sample)
-    cut = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.slice("res", e[i] + 1, e[i + 1] - e[i]).alias("x")) for i in range(m)))).alias("s")
-    parts = rows.select("id", cut).select("id", "s.m", "s.x")
-
-    def work(key, t):
-        i = key[0].as_py()
-        x = matrix(t.sort_by("id").column("x"))
-        w = lloyd(x, min(1 << bits, len(x)), iters, seed + i)
-        return pa.table({"m": pa.array([i] * len(w), pa.int32()), "code": pa.array(range(len(w)), pa.int32()), "cw": pa.array(np.round(w, DIGITS).tolist(), pa.list_(pa.float64()))})
+    """k-means in all subspaces at once: one pass over the residuals for each iteration, in which every task adds up its
+    own rows by subspace and word, and only these sums meet. Words start as the first residuals in the hash order; one
+    that no row is nearest to stays. Beyond `sample` residuals about so many are read, chosen by a hash of their ids."""
+    rows, n = residuals(index), index.lists.count()
+    if n > sample:
+        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) < sample)
+    rows = rows.select("id", "res").persist()
+    try:
+        book = _first_words(rows, m, min(1 << bits, n), seed)
+        for _ in range(iters):
+            book = _train_step(rows, book)
+    finally:
+        rows.unpersist()
+    return book
+
+
+def _train_step(rows: DataFrame, book: Codebook) -> Codebook:
+    shared = rows.sparkSession.sparkContext.broadcast(book)
 
-    return Codebook.of(parts.groupBy("m").applyInArrow(work, "m int, code int, cw array<double>"))
+    def work(batches):
+        book = shared.value
+        e, k = book.edges, len(book.words[0])
+        n, total = np.zeros((book.m, k), np.int64), [np.zeros_like(w) for w in book.words]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(0), int(e[-1]))
+            codes = book.encode(x).astype(np.int64)
+            for i in range(book.m):
+                np.add.at(total[i], codes[:, i], x[:, e[i] : e[i + 1]])
+                n[i] += np.bincount(codes[:, i], minlength=k)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(book.m), pa.int32()), pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in total], pa.binary())], names=["block", "n", "total"])
+
+    words = [w.copy() for w in book.words]
+    for r in added(rows.select("res").mapInArrow(work, "block int, n binary, total binary")).collect():
+        n, total = np.frombuffer(r.n, "<i8"), np.frombuffer(r.total, "<f8").reshape(words[r.block].shape)
+        live = n > 0
+        words[r.block][live] = np.round(total[live] / n[live, None], DIGITS)
+    return Codebook(words)
 
 
 def encode(index: IVFIndex, book: Codebook) -> DataFrame:
@@ -182,14 +214,52 @@ def adc_sql(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFram
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Exact distances of distinct candidates. Only their vectors are fetched."""
-    c = candidates.select("qid", "id").distinct().join(base.select("id", "vec"), "id").join(queries.select("qid", "q"), "qid")
-    return topk(c.select("qid", "id", distance(metric, "q", "vec").alias("dist")), k).select("qid", "rank", "id", "dist")
+    """Exact distances of distinct candidates. Block by block of queries, their candidates are sent to where the vectors
+    are, RERANK_BLOCK queries times their candidates at once; vectors are not moved, and only k rows a query leave a batch."""
+    from vexel.operators.brute import query_blocks
+
+    spark, parts = base.sparkSession, []
+    for qids, q in query_blocks(queries, RERANK_BLOCK):
+        mine = candidates.filter(F.col("qid").between(int(qids.min()), int(qids.max()))).select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id")).distinct().toArrow()
+        at = np.minimum(np.searchsorted(qids, mine.column("qid").to_numpy()), len(qids) - 1)
+        ok = qids[at] == mine.column("qid").to_numpy()
+        own, row = mine.column("id").to_numpy()[ok], at[ok]
+        o = np.argsort(own, kind="stable")
+        shared = spark.sparkContext.broadcast((qids, q, own[o], row[o]))
+
+        def work(batches, shared=shared):
+            qids, q, wanted, row = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                first, last = np.searchsorted(wanted, own), np.searchsorted(wanted, own, "right")
+                n = last - first
+                which = np.repeat(np.arange(len(own)), n)
+                asks = row[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+                if len(which):
+                    v = matrix(b.column(1).take(pa.array(np.flatnonzero(n))), q.shape[1])
+                    place = np.cumsum(n > 0) - 1
+                    d = exact(q[asks], v[place[which]], metric)
+                    o = np.lexsort((own[which], d, asks))
+                    asks, ids, d = asks[o], own[which][o], d[o]
+                    best = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[asks[best]]), pa.array(ids[best]), pa.array(d[best])], names=["qid", "id", "dist"])
+
+        parts.append(base.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(work, "qid bigint, id bigint, dist double"))
+    if not parts:
+        return spark.createDataFrame([], "qid bigint, rank int, id bigint, dist double")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return topk(found, k).select("qid", "rank", "id", "dist")
 
 
 def pq_search(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFrame, k: int, nprobe: int, rerank_n: int = RERANK) -> DataFrame:
-    found = adc(codes, index, book, queries, index.route(queries, nprobe), max(rerank_n, k))
-    return rerank(found, index.lists, queries, k, index.metric)
+    """Candidates by codes, then exact distances within the shards of the probed lists."""
+    probes = index.route(queries, nprobe)
+    found = adc(codes, index, book, queries, probes, max(rerank_n, k))
+    return rerank(found, index._shards_of(probes), queries, k, index.metric)
 
 
 __all__ = ["Codebook", "adc", "adc_sql", "encode", "pq_search", "rerank", "residuals", "sampled_codebook", "subdims", "train"]

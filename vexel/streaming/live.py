@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from vexel.operators import kmeans
-from vexel.operators.ivf import IVFIndex
+from vexel.operators.ivf import IVFIndex, without
 from vexel.operators.updates import overlay_search
 
 EVENTS = "seq bigint, op string, id bigint, vec array<float>"
@@ -49,4 +49,4 @@ class LiveIndex:
 
     def search(self, queries: DataFrame, k: int, nprobe: int, version: int | None = None, mode: str = "flat") -> DataFrame:
         live, gone = self.snapshot(version)
-        return overlay_search(IVFIndex(self.index.centroids, self.index.lists.join(gone, "id", "left_anti"), self.index.metric, self.index.meta), queries, k, nprobe, live, None, mode)
+        return overlay_search(IVFIndex(self.index.centroids, without(self.index.lists, gone), self.index.metric, self.index.meta), queries, k, nprobe, live, None, mode)

@@ -73,6 +73,16 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class Points:
+    """Code points of a text before a byte; asked in any order, each text is read once."""
+
+    def __init__(self, text: bytes):
+        self.heads = None if text.isascii() else np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80, dtype=np.int64)
+
+    def __call__(self, byte: int) -> int:
+        return byte if self.heads is None else int(self.heads[byte - 1]) if byte else 0
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import raw, runs
+from vexel.llm.common import Points, raw, runs
 
 #: Strings that a piece of an expression may stand for, before it is given up as anything.
 SPELLINGS = 64
@@ -177,9 +177,8 @@ class Scanner:
                         out[d].append((m.start(), m.end(), k))
         for d, found in enumerate(out):
             if found and not texts[d].isascii():
-                t = texts[d]
-                point = {x: len(t[:x].decode()) for x in {y for f in found for y in f[:2]}}
-                out[d] = [(point[a], point[b], k) for a, b, k in found]
+                point = Points(texts[d])
+                out[d] = [(point(a), point(b), k) for a, b, k in found]
             out[d].sort(key=lambda f: (f[0], f[2], f[1]))
         return out
 

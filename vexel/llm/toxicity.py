@@ -6,11 +6,13 @@ so the weights come to rest on the sentences that make a text toxic, which are r
 
 Features of a sentence: its distinct words and their first 4, 5 and 6 bytes, A-Z lower-cased. Those are kept that
 `least` toxic training texts hold and that are `lift` times as frequent among toxic ones. Training uses at most `sample`
-labelled texts, the first by a hash of their ids; scoring reads every sentence of every text. There, sentences without
-a kept feature contribute nothing, so that no text is called toxic for its length.
+labelled texts and `sample_bytes` of them, the first by a hash of their ids (a single text beyond `sample_bytes` is not
+among them); one task reads them and fits, and the driver sees the model alone. Scoring reads every sentence of every
+text. There, sentences without a kept feature contribute nothing, so that no text is called toxic for its length.
 
-Null or empty texts have no sentence and score 0. Labels that are null are not used; of several for one id, the highest.
-Without labels of both kinds every text scores 0. Repeated rows are each reported; further columns are ignored.
+Null or empty texts have no sentence and score 0. A null id is not held out. Labels that are null are not used; of several
+for one id, the highest. Without labels of both kinds every text scores 0. Repeated rows are each reported; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vexel.llm.common import Words, mix, raw, runs
+from vexel.llm.common import Points, Words, mix, raw, runs
 
-#: Labelled texts that training reads at most.
-SAMPLE = 12_000
+#: Labelled texts that training reads at most, and their bytes.
+SAMPLE, SAMPLE_BYTES = 12_000, 128 << 20
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -36,7 +39,7 @@ _COARSE = 20
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 class Bags:
@@ -111,11 +114,12 @@ class Model:
         places: list[list[dict]] = [[] for _ in texts]
         bad = np.flatnonzero(z >= np.log(offending / (1 - offending))).tolist()
         starts = np.concatenate([[1], 1 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        d, point = -1, None
         for j, (a, b) in zip(bad, bags.spans(bad), strict=True):
-            d = int(bags.text[j])
-            t, a, b = texts[d], a - int(starts[d]), b - int(starts[d])
-            head = len(t[:a].decode())
-            places[d].append({"start": head, "stop": head + len(t[a:b].decode()), "score": float(1 / (1 + np.exp(-z[j])))})
+            if d != int(bags.text[j]):
+                d = int(bags.text[j])
+                point = Points(texts[d])
+            places[d].append({"start": point(a - int(starts[d])), "stop": point(b - int(starts[d])), "score": float(1 / (1 + np.exp(-z[j])))})
         return np.clip(scores, 0, 1), places
 
 
@@ -183,13 +187,27 @@ def fit(texts: list[bytes], labels: np.ndarray, least: int = 4, lift: float = 3.
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """From labelled rows outside the held-out quarter."""
+    order = [F.xxhash64("_id"), F.col("_id")]
     rows = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("long").alias("_y")).orderBy(*order).limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    got = texts.join(F.broadcast(rows), "_id").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text")).toArrow().sort_by("_id")
-    return fit(raw(got.column("_text").combine_chunks()) if got.num_rows else [], got.column("_y").to_numpy().astype(np.int64))
+    got = texts.join(F.broadcast(rows), "_id").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text"))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    upto = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = got.filter(size <= sample_bytes).withColumn("_upto", upto).filter(F.col("_upto") <= sample_bytes).select("_y", "_text")
+
+    def work(batches):
+        held, y = [], []
+        for b in batches:
+            y += b.column(0).to_pylist()
+            held += raw(b.column(1))
+        m = fit(held, np.array(y, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([m.known.astype("<u8").tobytes()]), pa.array([m.weights.astype("<f8").tobytes()]), pa.array([float(m.bias)])], names=["known", "weights", "bias"])
+
+    r = got.mapInArrow(work, "known binary, weights binary, bias double").first()  # the window has made it one task
+    return fit([], np.empty(0, np.int64)) if r is None else Model(np.frombuffer(r.known, "<u8"), np.frombuffer(r.weights, "<f8"), r.bias)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
 """N-gram Jaccard join: a size-aware heavy-light join of word-shingle sets, and its linked components.
 
 Two documents link when their sets of `shingle` consecutive words (A-Z lower-cased) have a Jaccard similarity of
-percent / 100 at least. The result is exact; links are looked for as follows.
+percent / 100 at least. No candidate is left out. Shingles are compared as numbers of 56 bits, so that sets of n and m
+shingles have one in common that they have not with a chance of n * m / 2**56 (1e-11 for a thousand each); nothing else
+is inexact. Links are looked for as follows.
 
 1. Shared shingles. Each shingle's inverted list is scanned for a single bit: has any other set the shingle? A set
    links only if enough of its shingles are shared. What no other set has can be in no intersection, so from here on a
@@ -11,13 +13,14 @@ percent / 100 at least. The result is exact; links are looked for as follows.
 3. Keys. Light sets (size up to the boundary) enumerate their subsets of fixed sizes: of sizes that any partner's
    intersection must reach, so linked light sets have a subset in common. Heavy sets, and light ones that can link to
    a heavy one, enter the inverted lists of a prefix of their shared shingles, long enough that linked sets meet in
-   three lists. The boundary is the largest size for which enumerating costs no more than scanning lists of the mean length met here.
+   three lists, or in as many as they must share if that is less. The boundary is the largest size for which enumerating costs no more than scanning lists of the mean length met here.
 4. Links within lists. All sets of a key are tested against the most central one (the largest shared part), then
    components are formed. Only sets of one key that are still in different components are tested against each other,
-   under bounds from sizes, shared parts, places in the lists and what each shares with the row that has most links. A list of copies thus costs its length, not its
-   square, and no candidate is left out.
+   under bounds from sizes, shared parts, places in the lists and what each shares with the row that has most links. A
+   list of copies thus costs its length, not its square. A long list that stays apart is cut in blocks, and each pair of
+   blocks is a task's work by itself.
 
-Nulls and texts without words have the empty set, link with nothing and are components of their own. With fewer words
+Ids become bigints; others are refused by Spark. Nulls and texts without words have the empty set, link with nothing and are components of their own. With fewer words
 than `shingle`, the whole sequence is the one shingle. A null id never names a component; a component of null ids has a
 null name. Rows that repeat an id are documents of their own. Further columns are ignored.
 """
@@ -43,12 +46,16 @@ DOC_BUCKET, KEY_BUCKET, SEND = 16 << 20, 16 << 20, 8 << 20
 #: Sizes for which the cost of subsets is reckoned; beyond, it exceeds any list's.
 LIGHTEST, LIGHT_LIMIT = 1, 24
 #: Lists in which heavy sets must meet to be compared. Sets that link and have so many shingles in common do, as the
-#: prefixes are longer by as much; smaller sets than that link with their equals alone.
+#: prefixes are longer by as much; those that link by fewer shingles meet in each of them, and a meeting then counts more.
 MEETINGS = 3
+#: Members of a list in one block, when its members are tested against each other.
+LIST_BLOCK = 1024
 #: Members of a list's largest component from which its pivot is asked before its members are.
 PIVOTED = 3
 #: Pairs that a task gathers before it adds up those that have met before.
 GATHERED = 200_000
+#: Pairs that a task holds before it sends them.
+HELD = 2_000_000
 
 _TABLE = blank_table(lower=True)
 _ENTRY = [("key", "<u8"), ("row", "<i8")]
@@ -63,6 +70,12 @@ def least_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def weight(need):
+    """What one meeting counts for sets that must share `need` shingles: min(need, MEETINGS) of them come to MEETINGS."""
+    few = np.minimum(need, MEETINGS)
+    return -(-MEETINGS // few)
+
+
 def least_shared(n, percent: int):
     """Shingles that any partner of a set of n shares with it, at least."""
     return -(-percent * n // 100)
@@ -230,7 +243,7 @@ def subset_keys(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with the size of their intersection and whether they link: a, b, both, links."""
+    """The pairs with set sizes, the size of their intersection and whether they link: a, b, na, nb, both, links."""
 
     def work(batches):
         for b in batches:
@@ -241,11 +254,11 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 i = int((both[1:] == both[:-1]).sum())
                 size.append(i)
                 ok.append(100 * i >= percent * (n + m - i))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(size, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "both", "links"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(size, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "na", "nb", "both", "links"])
 
     left = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("shared").alias("xa"))
     right = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(work, "a bigint, b bigint, both bigint, links boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(work, "a bigint, b bigint, na bigint, nb bigint, both bigint, links boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,6 +281,11 @@ def _bound(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((na + nb) * percent / (100 + percent))
 
 
+def _weight(na: Column, nb: Column, percent: int) -> Column:
+    few = F.least(_bound(na, nb, percent), F.lit(MEETINGS))
+    return F.ceil(F.lit(MEETINGS) / few)
+
+
 def linked(sets: DataFrame, percent: int) -> DataFrame:
     """row, comp for each row that has a link. sets: row, n, shared of one representative of each class, dealt by row."""
     spread = max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -279,45 +297,66 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     central = F.struct((F.col("s") / F.col("n")).alias("part"), (-F.col("row")).alias("minus"), "n", "s")
     lists = cut(entries.groupBy("key").agg(F.count("*").alias("size"), F.max(central).alias("lead")).filter("size > 1").select("key", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.s").alias("ls")))
     entries = cut(entries.join(lists, "key"))
-    star = entries.filter((F.col("row") != F.col("lead")) & (_bound(F.col("n"), F.col("ln"), percent) <= F.least("s", "ls"))).groupBy(F.col("row").alias("a"), F.col("lead").alias("b")).agg(F.sum("w").alias("w"))
+    star = entries.filter((F.col("row") != F.col("lead")) & (_bound(F.col("n"), F.col("ln"), percent) <= F.least("s", "ls")))
+    star = star.groupBy(F.col("row").alias("a"), F.col("lead").alias("b")).agg(F.sum(F.col("w") * _weight(F.col("n"), F.col("ln"), percent)).alias("w"))
     star = cut(compared(star.filter(F.col("w") >= MEETINGS).select("a", "b"), sets, percent))
     links = star.filter("links").select("a", "b")
     comps = components(links)
     # What is still apart within a list. Its largest component is represented by the row with most links, the pivot.
-    turned = star.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "links")
+    turned = star.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), "both", "links")
     known = star.unionByName(turned).dropDuplicates(["a", "b"])
-    hubs = known.filter("links").groupBy("a").count().join(comps, F.col("a") == F.col("row")).groupBy("comp").agg(F.max(F.struct("count", (-F.col("row")).alias("minus"))).alias("h"))
-    hubs = hubs.select(F.col("comp").alias("main"), (-F.col("h.minus")).alias("pivot"))
+    hubs = known.filter("links").groupBy("a").agg(F.count("*").alias("count"), F.first("na").alias("pn"))
+    hubs = hubs.join(comps, F.col("a") == F.col("row")).groupBy("comp").agg(F.max(F.struct("count", (-F.col("row")).alias("minus"), "pn")).alias("h"))
+    hubs = hubs.select(F.col("comp").alias("main"), (-F.col("h.minus")).alias("pivot"), F.col("h.pn").alias("pn"))
     own = entries.select("key", "row", "n", "s", "pos", "w").join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     per = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
-    several = per.agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1").select("key", F.col("m.comp").alias("main"), F.col("m.c").alias("members"))
+    several = per.agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
+    several = several.select("key", F.col("m.comp").alias("main"), F.col("m.c").alias("members"), F.ceil(F.col("all") / LIST_BLOCK).cast("int").alias("blocks"))
     apart = cut(own.join(several, "key").join(hubs, "main", "left"))
-    asked = apart.filter((F.col("members") >= PIVOTED) & (F.col("row") != F.col("pivot"))).groupBy(F.col("row").alias("a"), F.col("pivot").alias("b")).agg(F.sum("w").alias("w"))
+    asked = apart.filter((F.col("members") >= PIVOTED) & (F.col("row") != F.col("pivot"))).groupBy(F.col("row").alias("a"), F.col("pivot").alias("b"))
+    asked = asked.agg(F.sum(F.col("w") * _weight(F.col("n"), F.col("pn"), percent)).alias("w"))
     new = cut(compared(asked.filter(F.col("w") >= MEETINGS).select("a", "b").join(known, ["a", "b"], "left_anti"), sets, percent))
     met = known.unionByName(new).select(F.col("a").alias("row"), F.col("b").alias("pivot"), "both")
     apart = apart.join(met, ["row", "pivot"], "left")
-    apart = apart.select("key", "row", "n", "s", "pos", "w", "comp", "main", F.coalesce("both", F.lit(-1)).alias("both"), F.pmod("key", F.lit(4 * spread)).cast("int").alias("bucket"))
+    # Of a list cut in blocks every pair of blocks is a piece: x the own block, (lo, hi) the piece.
+    apart = apart.withColumn("x", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "row", "n", "s", "pos", "w", "comp", "main", F.coalesce("both", F.lit(-1)).alias("both"))
+    apart = apart.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(4 * spread)).cast("int"))
+    numbers = ("key", "lo", "hi", "x", "row", "n", "s", "pos", "w", "comp", "main", "both")
 
     def cross(t: pa.Table) -> pa.Table:
-        c = {f: t.column(f).to_numpy() for f in ("key", "row", "n", "s", "pos", "w", "comp", "main", "both")}
-        o = np.argsort(c["key"], kind="stable")
+        c = {f: t.column(f).to_numpy() for f in numbers}
+        o = np.lexsort((c["hi"], c["lo"], c["key"]))
         c = {f: v[o] for f, v in c.items()}
-        edges = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1], [True]])) if len(o) else [0]
-        met, new, held = np.empty((3, 0), np.int64), [], 0
-        for x, y in zip(edges, edges[1:], strict=False):
-            row, n, s, pos, comp, main, both = (c[f][x:y] for f in ("row", "n", "s", "pos", "comp", "main", "both"))
+        new_piece = (np.diff(c["key"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)
+        edges = np.flatnonzero(np.concatenate([[True], new_piece, [True]])) if len(o) else [0]
+        met, new, held, out = np.empty((3, 0), np.int64), [], 0, []
+
+        def send():
+            p = dict(zip(("a", "b", "w"), met, strict=True))
+            out.extend((_WORK, b, z) for b, z in dealt(_PAIR, p, (p["a"] * 31 + p["b"]) % (4 * spread)))
+
+        for i0, i1 in zip(edges, edges[1:], strict=False):
+            lo, hi, x, row, n, s, pos, comp, main, both = (c[f][i0:i1] for f in ("lo", "hi", "x", "row", "n", "s", "pos", "comp", "main", "both"))
+            within = lo[0] == hi[0]
             for i in np.flatnonzero(comp != main).tolist():  # every other set against all of other components
                 need = -(-percent * (n[i] + n) // (100 + percent))
                 ok = (comp != comp[i]) & (need <= np.minimum(s[i] - pos[i], s - pos) + MEETINGS - 1) & (need <= np.minimum(s[i], s)) & ((comp == main) | (row > row[i]))
+                if not within:
+                    ok &= x != x[i]
                 if both[i] >= 0:  # what both share with the pivot, and what both have beside it
                     ok &= (both < 0) | (need <= np.minimum(both[i], both) + np.minimum(s[i] - both[i], s - both))
                 if ok.any():
-                    new.append(np.stack([np.minimum(row[ok], row[i]), np.maximum(row[ok], row[i]), np.full(int(ok.sum()), c["w"][x])]))
+                    new.append(np.stack([np.minimum(row[ok], row[i]), np.maximum(row[ok], row[i]), c["w"][i0] * weight(need[ok])]))
                     held += int(ok.sum())
                     if held > max(GATHERED, met.shape[1] // 2):
                         met, new, held = summed(np.concatenate([met, *new], axis=1)), [], 0
-        p = dict(zip(("a", "b", "w"), summed(np.concatenate([met, *new], axis=1)), strict=True))
-        return _table([(_WORK, b, z) for b, z in dealt(_PAIR, p, (p["a"] * 31 + p["b"]) % (4 * spread))])
+                        if met.shape[1] > HELD:
+                            send()
+                            met = met[:, :0]
+        met = summed(np.concatenate([met, *new], axis=1))
+        send()
+        return _table(out)
 
     def summed(p: np.ndarray) -> np.ndarray:
         """Each pair once, with the sum of its meetings."""

@@ -29,10 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run in one machine, as
+    in tests, a folder of our own; on a cluster that would lose data and is refused."""
     sc = spark.sparkContext
     if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
         if sc.getCheckpointDir() is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="vexel-checkpoint-"))
         return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:

@@ -5,22 +5,43 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vexel.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, secrets, suffix_dedup, token_counts, toxicity
-from vexel.llm.common import documents, shared_dir
+from vexel.llm.common import cut, documents, remove, shared_dir
 
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """All documents under two tokenizer versions, committed as one batch; the batch comes twice and counts once."""
+    """Totals under two tokenizer versions after each of three batches, all of which come twice and count once: all
+    documents are loaded; texts with runs of blanks are revised to one space each; of equal texts all but that of the
+    smallest doc_id are deleted. after, source, lang, tokenizer, docs, tokens."""
     versions = {"words-v1": token_counts.count_words, "byte_bpe_50k-v1": token_counts.byte_pair(f"{tokenizers}/byte_bpe_50k.tiktoken")}
-    rollup = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/token_rollup/{uuid.uuid4().hex}")
-    counted = token_counts.count_tokens(documents(spark, sf_dir), versions)
-    rollup.commit("load", counted)
-    rollup.commit("load", counted)
-    return rollup.totals()
+    rollup = token_counts.TokenRollup(spark, root := f"{shared_dir(spark)}/token_rollup/{uuid.uuid4().hex}")
+    docs = documents(spark, sf_dir).withColumn("order", F.lit(0))
+    single = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    revised = docs.withColumn("_single", single).filter(F.col("_single") != F.coalesce("text", F.lit(""))).withColumn("text", F.col("_single"))
+    named = docs.filter("doc_id is not null").select("doc_id", F.sha2(single, 256).alias("h"))
+    first = named.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = named.join(first, "h").filter("doc_id <> first").select("doc_id").distinct()
+    gone = copies.withColumn("tokenizer", F.explode(F.array(*map(F.lit, versions))))
+    none = lambda kind: F.lit(None).cast(kind)
+    batches = {
+        "load": token_counts.count_tokens(docs, versions),
+        "revise": token_counts.count_tokens(revised, versions).withColumn("op", F.lit("revise")),
+        "delete": gone.select("doc_id", none("string").alias("source"), none("string").alias("lang"), "tokenizer", none("long").alias("tokens"), F.lit("delete").alias("op")),
+    }
+    out = None
+    for name, changes in batches.items():
+        for _ in range(2):
+            rollup.commit(name, changes, set_aside=True)
+        now = rollup.totals().select(F.lit(name).alias("after"), "*")
+        out = now if out is None else out.unionByName(now)
+    out = cut(out)
+    remove(spark, root)
+    return out
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

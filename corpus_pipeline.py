@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before has kept and returns a DataFrame with
 the columns of documents; the last one returns what the mix takes of each document.
+
+Rows without doc_id, and rows that repeat one, go through all stages as documents of their own; of copies the smallest id
+stays, null last. Null and empty texts are not toxic, are copies of each other, have no near copies and no passages, and
+mix as 0 words. Empty documents give an empty result; without labels no document is toxic, without benchmark items none is
+contaminated. Further columns, whatever their names, are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,8 +20,16 @@ from vexel.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
 from vexel.llm.common import documents, remove, shared_dir
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    return rows.join(dropped.select("_row").hint("shuffle_hash"), "_row", "left_anti").drop("_row")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, under a name that no column has."""
+    name, taken = "_row", {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    return rows.join(dropped.select(name).hint("shuffle_hash"), name, "left_anti").drop(name)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +38,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return _without(rows, exact_dedup.exact_dedup(rows, extra=("_row",)).filter(~F.col("kept"))).select(docs.columns)
+    rows, name = _numbered(docs)
+    return _without(rows, exact_dedup.exact_dedup(rows, extra=(name,)).filter(~F.col("kept")), name).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return _without(rows, jaccard_join.jaccard_join(rows, extra="_row").filter(~F.col("first"))).select(docs.columns)
+    rows, name = _numbered(docs)
+    return _without(rows, jaccard_join.jaccard_join(rows, extra=name).filter(~F.col("first")), name).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ consecutive words of a benchmark item; an item of fewer words is one window. Win
 sorted arrays of bounded size. Each document window whose hash is there is verified against the window's own words,
 and then marks its words as hit. Documents are never split or moved.
 
-A benchmark with more than `block_windows` windows is dealt into blocks. Each block is scanned in a job of its own,
-hits alone are kept, and they are put together per text, so memory stays bounded and no window is left out.
+A benchmark with more than `block_windows` windows is dealt into blocks by window and item, so that a window that many
+items share is spread over them. Each block is scanned in a job of its own, hits alone are kept, and they are put together
+per text, so memory stays bounded and no window is left out.
 
 Null texts have no words. An item without words gives no window; one without an id marks words like any other and
 is not among the items. Items that repeat an id count once. Repeated
@@ -136,7 +137,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     blocks = max(1, -(-found.count() // block_windows))
     if blocks == 1:
         return scan(docs, "_text", spark.sparkContext.broadcast(Block(found.collect())), kind)
-    found = found.withColumn("_block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    found = found.withColumn("_block", F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)))
     keyed = docs.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
     parts = []
     for k in range(blocks):
@@ -166,7 +167,7 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WORDS) -> DataFrame:
     """Documents, all columns, that hold no benchmark window. Beyond one block of windows, blocks run one by one."""
-    found = cut(windows(bench, item_col, item_text, n))
+    found = cut(windows(bench, item_col, item_text, n).select(F.lit(None).cast("string").alias("item_id"), "size", "window").distinct())
     blocks = max(1, -(-found.count() // BLOCK_WINDOWS))
     found = found.withColumn("_block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     sc, columns = docs.sparkSession.sparkContext, docs.columns

@@ -1,14 +1,16 @@
 """Line deduplication: lines whose key occurs in many documents are dropped from every one of them.
 
-A line's key is the line without blanks at its ends, A-Z lower-cased. Keys are hashed to 128 bits; each text gives each
-of its keys once, batches add up their counts, and one aggregation by key sums them: a line that half of all documents
-hold reaches its task as one row per batch. Keys over the threshold then go back to the texts:
+A line's key is the line without blanks at its ends, A-Z lower-cased, hashed to 128 bits. Lines are exploded to (document,
+position, key). Each text gives each of its keys once, batches add up their counts, and one aggregation by key sums them:
+a line that half of all documents hold reaches its task as one row per batch. The exploded lines of keys over the
+threshold are the dropped ones; their positions go back to their documents, and what is left is put together by position.
 
-* up to `broadcast_keys` of them as a sorted broadcast array, so that no text is moved;
-* beyond, by joins: the positions of each text's lines against the keys, then each text with its dropped positions.
+A document is named by a digest of its id and text, so that any input plan may be read twice, and copies are names of
+their own; lines of one key are dealt over SALTS tasks where their keys are joined. With `broadcast_keys` above 0, up to
+so many common keys are sent to the texts instead, which then do not move; the rows are the same.
 
-Either way the kept lines are put together in their order. Null or empty texts are one empty line, and empty keys are
-never dropped. Every row counts as a document, repeated rows and null ids too. Further columns are ignored.
+Null or empty texts are one empty line, and empty keys are never dropped. Every row counts as a document, repeated rows
+and null ids too. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.llm.common import BLANKS, cut, raw, runs
 
 DOCUMENTS = 10
-#: 16 bytes each, so at most 16 MB go to an executor.
-BROADCAST_KEYS = 1_000_000
+#: Common keys that are sent to the texts: by default none.
+BROADCAST_KEYS = 0
+#: Tasks among which the lines of one key are dealt.
+SALTS = 16
 
 
 def key(line: bytes) -> bytes:
@@ -57,7 +62,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     common = cut(common_keys(docs, "_text", documents))
     schema = "doc_id bigint, n_lines bigint, n_dropped bigint, kept string".replace("doc_id bigint", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    if common.count() <= broadcast_keys:
+    if broadcast_keys and common.count() <= broadcast_keys:
         drop = docs.sparkSession.sparkContext.broadcast(b"".join(sorted(bytes(r.key) for r in common.toLocalIterator())))
 
         def by_set(batches):
@@ -68,7 +73,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield kept(b, [[i for i, y in enumerate(t.split(b"\n")) if hashed(y) in gone] for t in raw(b.column(1))])
 
         return docs.mapInArrow(by_set, schema)
-    docs = docs.withColumn("_row", F.sha2(F.coalesce("_text", F.lit("")), 256))  # equal texts lose the same lines
+    docs = docs.withColumn("_row", F.sha2(F.concat(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), F.coalesce("_text", F.lit(""))), 256))
 
     def explode(batches):
         for big in batches:
@@ -76,10 +81,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lines = [[hashed(y) for y in t.split(b"\n")] for t in raw(b.column(1))]
                 rows = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in lines]))
                 at = np.concatenate([np.arange(len(x)) for x in lines]) if lines else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(at, pa.int32()), pa.array([y for x in lines for y in x], pa.binary())], names=["_row", "at", "key"])
+                keys = pa.array([y for x in lines for y in x], pa.binary())
+                some = pa.compute.not_equal(keys, b"")
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(at, pa.int32()), keys], names=["_row", "at", "key"]).filter(some)
 
-    dropped = docs.select("_row", "_text").mapInArrow(explode, "_row string, at int, key binary").join(common, "key", "left_semi")
-    dropped = dropped.groupBy("_row").agg(F.collect_set("at").alias("_at"))
+    salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = docs.select("_row", "_text").mapInArrow(explode, "_row string, at int, key binary").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    dropped = lines.join(salted, ["key", "_salt"], "left_semi").groupBy("_row").agg(F.collect_set("at").alias("_at"))
 
     def by_rows(batches):
         for big in batches:

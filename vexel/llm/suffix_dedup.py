@@ -19,8 +19,8 @@ document has need no sorting. Five steps, each linear in the input, bytes moved
 Documents never collect in one task beyond a bucket of bounded bytes; a passage that half of all documents share
 reaches its bucket once per slice.
 
-Nulls count as empty texts. A null id counts as the greatest. Rows that repeat an id are one document: they do not
-cover each other, and each is reported. Further columns are ignored.
+Ids become bigints; others are refused by Spark. Nulls count as empty texts. A null id counts as the greatest bigint. Rows
+that repeat an id are one document: they do not cover each other, and each is reported. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -290,7 +290,7 @@ def _split(t: pa.Table) -> tuple[list[bytes], list[bytes]]:
 
 
 def covered_spans(docs: DataFrame, n_texts: int, n_anchors: int) -> DataFrame:
-    """docs: doc, tag, tb (bucket of the text), text. Rows of kind _KNOWN: packed spans by bucket of text."""
+    """docs: doc, tag, tb (bucket of the text), text (more may be there). Rows of kind _KNOWN: packed spans by bucket of text."""
 
     def find(batches):
         kept, spans, seen = [], [], 0
@@ -372,12 +372,12 @@ def covered_spans(docs: DataFrame, n_texts: int, n_anchors: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (start, stop; maximal removed runs), kept (bytes)."""
     last = (1 << 63) - 1
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).isNull().alias("none"))
     total = text_bytes(own, "text")
     n_texts, n_anchors = _prime(max(7, -(-total // TEXT_BUCKET))), max(8, -(-total // ANCHOR_BUCKET))
     again = own.groupBy("doc").count().filter("count > 1")
     own = own.withColumn("tag", F.lit(0).cast("long") if again.isEmpty() else F.xxhash64("text"))
-    own = own.withColumn("tb", F.pmod("doc", F.lit(n_texts)).cast("int")).select("doc", "tag", "tb", "text")
+    own = own.withColumn("tb", F.pmod("doc", F.lit(n_texts)).cast("int")).select("doc", "tag", "tb", "text", "none")
     place = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
     def remove(texts: pa.Table, t: pa.Table) -> pa.Table:
@@ -387,14 +387,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for d, g, a, b in zip(*(s[f].tolist() for f in ("doc", "tag", "start", "stop")), strict=True):
             mine.setdefault((d, g), []).append((a, b))
         ids, sizes, gone, spans, kept = [], [], [], [], []
-        for d, g, x in zip(texts.column("doc").to_pylist(), texts.column("tag").to_pylist(), raw(texts.column("text").combine_chunks()) if texts.num_rows else [], strict=True):
+        for d, g, none, x in zip(*(texts.column(c).to_pylist() for c in ("doc", "tag", "none")), raw(texts.column("text").combine_chunks()) if texts.num_rows else [], strict=True):
             own = mine.get((d, g), [])
             parts, at = [], 0
             for a, b in own:
                 parts.append(x[at:a])
                 at = b
             parts.append(x[at:])
-            ids.append(None if d == last else d)
+            ids.append(None if none else d)
             sizes.append(len(x))
             gone.append(sum(b - a for a, b in own))
             spans.append([{"start": a, "stop": b} for a, b in own])

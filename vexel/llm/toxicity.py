@@ -172,13 +172,7 @@ def fit(texts: list[bytes], labels: np.ndarray, least: int = 4, lift: float = 3.
     model.weights += 1.0
     m, v, mb, vb = np.zeros_like(model.weights), np.zeros_like(model.weights), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = model.bias + np.bincount(sentence, model.weights[feat], len(live))
-        s, s0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-model.bias))
-        rest = np.minimum(noisy_or(z, text, len(texts)) + plain * np.log1p(-s0), -1e-12)
-        pull = np.where(labels == 1, -np.exp(rest) / -np.expm1(rest), 1.0) / len(texts)
-        gz = pull[text] * s
-        g = np.bincount(feat, gz[sentence], len(model.weights)) + decay * model.weights / len(texts)
-        gb = gz.sum() + (pull * plain).sum() * s0
+        _, g, gb = slope(model.weights, model.bias, text, sentence, feat, plain, labels, decay)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.99**step
@@ -187,6 +181,19 @@ def fit(texts: list[bytes], labels: np.ndarray, least: int = 4, lift: float = 3.
     return model
 
 
+def slope(weights: np.ndarray, bias: float, text: np.ndarray, sentence: np.ndarray, feat: np.ndarray, plain: np.ndarray, labels: np.ndarray, decay: float) -> tuple[float, np.ndarray, float]:
+    """The mean loss of the texts' labels with its slopes by weights and bias. text: of each sentence that has features;
+    sentence, feat: each feature's; plain: how many sentences without features a text has."""
+    n = len(labels)
+    z = bias + np.bincount(sentence, weights[feat], len(text))
+    s, s0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
+    rest = np.minimum(noisy_or(z, text, n) + plain * np.log1p(-s0), -1e-12)
+    loss = -np.where(labels == 1, np.log(-np.expm1(rest)), rest).sum() / n + decay * (weights**2).sum() / 2 / n
+    pull = np.where(labels == 1, -np.exp(rest) / -np.expm1(rest), 1.0) / n
+    gz = pull[text] * s
+    return loss, np.bincount(feat, gz[sentence], len(weights)) + decay * weights / n, gz.sum() + (pull * plain).sum() * s0
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """From labelled rows outside the held-out quarter."""
     order = [F.xxhash64("_id"), F.col("_id")]

@@ -71,3 +71,8 @@ def synthetic_code(local_id: Column, m: int) -> Column:
         return pd.Series((splitmix64_array(ids.to_numpy(np.int64).astype(np.uint64) ^ salt) & np.uint64(255)).astype(np.int16))
 
     return of(local_id)
+
+
+def digest_bits(digits: int, *parts: Column) -> Column:
+    """4 * digits bits of an MD5 digest of the parts, joined by colons: the same number in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, digits), 16, 10).cast("long")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vexel.functions.hashing import hashed_list, is_deleted
+from vexel.functions.hashing import digest_bits, hashed_list, is_deleted
 from vexel.operators import kmeans
 from vexel.operators.brute import brute_force_knn
 from vexel.operators.evaluation import recall, throughput
@@ -37,7 +37,7 @@ def delta_vectors(base: DataFrame, queries: DataFrame, n: int, mode: str, n_base
         q = queries.select(F.col("qid").alias("local_id"), F.col("q").cast("array<float>").alias("q"))
         return ids.join(q, "local_id", "left").select("local_id", F.coalesce("q", far).alias("vec"), none.alias("source_id"))
     if mode == "random-u8":
-        value = lambda i: F.pmod(F.xxhash64("local_id", F.lit(seed), i), F.lit(256)).cast("float")
+        value = lambda i: digest_bits(2, F.col("local_id"), F.lit(seed), i).cast("float")
         return ids.select("local_id", F.transform(F.sequence(F.lit(1), F.lit(dim)), value).alias("vec"), none.alias("source_id"))
     if mode not in ("main-sample", "random-main-sample"):
         raise ValueError(f"mode {mode!r}")
@@ -45,7 +45,7 @@ def delta_vectors(base: DataFrame, queries: DataFrame, n: int, mode: str, n_base
         base = base.join(protected.select("id"), "id", "left_anti")
     order = F.struct(F.col("id"))
     if mode == "random-main-sample":  # row number `seed` opens the sample; the others follow by a keyed hash of their ids
-        order = F.struct(F.col("id") != seed % max(1, n_base), F.xxhash64("id", F.lit(seed)), F.col("id"))
+        order = F.struct(F.col("id") != seed % max(1, n_base), digest_bits(15, F.col("id"), F.lit(seed)), F.col("id"))
     first = base.withColumn("_o", order).orderBy("_o").limit(n)
     ranked = _numbered(first)
     return ids.join(ranked, "local_id", "left").select("local_id", F.coalesce(F.col("vec").cast("array<float>"), far).alias("vec"), "source_id")

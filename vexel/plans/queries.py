@@ -4,6 +4,7 @@ The query set is every row whose id is divisible by twenty, searched against all
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from vexel.functions import hashing, vector
 from vexel.operators import brute, evaluation, ivf, kmeans, layout, pq, quant, updates
 from vexel.operators.topk import distinct_topk, padded, topk
 from vexel.plans import sql as S
+from vexel.sources import vectors as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,13 +53,23 @@ def built(spark: SparkSession, d: str, metric: str = "l2") -> ivf.IVFIndex:
 
 
 def shared(spark: SparkSession) -> str:
-    """A folder of this run that driver and executors share."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vexel-")
+    """A folder of this run that driver and executors share. Where spark.checkpoint.dir is unset and all run in one
+    machine, as in tests, a folder of our own; on a cluster that would lose data and is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="vexel-")
     return f"{root}/{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession) -> str:
+    """shared(), made."""
+    store, at = files.store_of(path := shared(spark))
+    store.create_dir(at, recursive=True)
+    return path
+
+
 # Scalar vector functions
 
 
@@ -104,7 +116,7 @@ def query_to_u8(spark, d):
     return base_of(spark, d).select("id", F.array_join(vector.to_u8(scaled), ",").alias("codes"))
 
 
-_U8 = "lims as (select min(list_min(embedding))::double lo, max(list_max(embedding))::double hi from embeddings), u as (select vec_id id, list_transform(embedding, lambda x: floor(greatest(0.0, least(255.0, (x::double - lo) * (255.0 / (hi - lo)))))::smallint) codes from embeddings, lims)"
+_U8 = S.U8
 
 
 @query(f"with {_U8} select id, array_to_string(codes, ',') codes from u")
@@ -133,7 +145,11 @@ def residual(spark, d):
     return i.lists.join(c, "cid").select("id", "cid", F.round(vector.l2_squared(vector.residual("vec", "c")), 6).alias("norm2"))
 
 
-@query()
+_HALF = S.floating("x", -14, 10)
+_SHIFTED = "list_transform(embedding, lambda x: (x::double - 0.1) * 2.0)"
+
+
+@query(f"select vec_id id, {S.codes_and_error(_SHIFTED, _HALF[0], f'({_HALF[1]}::float / 2.0::float + 0.1::float)')} from embeddings")
 def fp16_linear(spark, d):
     """Codes in half precision and what they decode to."""
     z = quant.Fp16Linear(2.0, 0.1)
@@ -141,7 +157,23 @@ def fp16_linear(spark, d):
     return out.select("id", F.hex("codes").alias("codes"), F.round(vector.l2_distance("vec", "decoded"), 9).alias("error"))
 
 
-@query()
+_MEANS = "(select list(x order by p) from (select p, round(avg(x), 9)::float x from (select unnest(embedding)::double x, generate_subscripts(embedding, 1) p from embeddings) group by p))"
+_CENTRED = "list_transform(list_zip(embedding, mean), lambda v: v[1]::double - v[2]::double)"
+_BACK = f"list_transform(list_zip({_CENTRED}, mean), lambda v: {S.floating('v[1]', -14, 10)[1]}::float + v[2])"
+
+
+@query(f"select id, codes, round({S.l2('embedding', 'back')}, 9) error from (select vec_id id, embedding, {S.codes_and_error(_CENTRED, _HALF[0], '0.0')}, {_BACK} back from (select *, {_MEANS} mean from embeddings))".replace(f", round({S.l2('embedding', f'list_transform({_CENTRED}, lambda x: 0.0)')}, 9) error, {_BACK} back", f", {_BACK} back"))
+def fp16_centred(spark, d):
+    """What is left after the mean, in half precision, and what it decodes to."""
+    b = base_of(spark, d).select("id", "vec")
+    z = quant.Fp16Centred().train(b)
+    return z.decode(z.encode(b)).select("id", F.hex("codes").alias("codes"), F.round(vector.l2_distance("vec", "decoded"), 9).alias("error"))
+
+
+_BRAIN = S.floating("x", -126, 7)
+
+
+@query(f"select vec_id id, {S.codes_and_error('list_transform(embedding, lambda x: x::double)', _BRAIN[0], f'{_BRAIN[1]}::float')} from embeddings")
 def bf16_codes(spark, d):
     """Brain-float codes and what they decode to."""
     z = quant.Bf16()
@@ -296,14 +328,19 @@ def minibatch_steps(spark, d):
     return _centroid_rows(spark, kmeans.minibatch_step(b.filter("id between 128 and 255"), c, seen)[0])
 
 
-@query()
+def _rows_of(c: str) -> str:
+    return f"select cid, (p - 1)::int pos, round(x, 6) x from (select cid, unnest(c) x, generate_subscripts(c, 1) p from {c})"
+
+
+@query(f"with {S.minibatch(80)} {_rows_of('m80')}")
 def minibatch_kmeans(spark, d):
+    """Eighty windows of 32,768 ids. The SQL holds for tables of one window, where each of them is the whole table."""
     return _centroid_rows(spark, kmeans.minibatch(base_of(spark, d), S.NLIST))
 
 
-@query()
+@query(f"with {S.minibatch(1)} {_rows_of('m1')}")
 def minibatch_pass(spark, d):
-    """Consecutive windows that cover the table."""
+    """Consecutive windows that cover the table. The SQL holds for tables of one window."""
     return _centroid_rows(spark, kmeans.minibatch_pass(base_of(spark, d), S.NLIST))
 
 
@@ -314,7 +351,7 @@ def subset_assign(spark, d):
     return rounded(kmeans.assign_nearest(b, kmeans.subset(b, S.NLIST, 200, S.ITERS)).select("id", "cid", "cdist"), "cdist")
 
 
-@query()
+@query(f"with {S.hierarchical()} {_rows_of('h')}")
 def hierarchical_kmeans(spark, d):
     return _centroid_rows(spark, kmeans.balanced_hierarchical(base_of(spark, d), S.NLIST, iters=S.ITERS))
 
@@ -442,7 +479,10 @@ _SWEEP = (1, 2, 4, 8, 16)
 @query(" union all ".join(f"select {n}::int nprobe, * from (with {S.index()}, {S.probes(n)}, {_TRUTH}, r as materialized ({S.searched()}) {_recall_sql('r', (10,))})" for n in _SWEEP))
 def recall_sweep(spark, d):
     q = queries_of(spark, d)
-    i, truth, out = built(spark, d).persist(), brute.brute_force_knn(base_of(spark, d), q, 10).persist(), None
+    i, truth, out = built(spark, d), brute.brute_force_knn(base_of(spark, d), q, 10), None
+    at = shared(spark)
+    i.save(at)
+    i = ivf.IVFIndex.load(spark, at)
     for n in _SWEEP:
         one = evaluation.recall(i.search(q, 10, n), truth, 10).select(F.lit(n).alias("nprobe"), "*")
         out = one if out is None else out.unionByName(one)
@@ -612,12 +652,33 @@ def query_copy_misses(spark, d):
     return evaluation.copy_misses(brute.brute_force_knn(delta, q, S.K), q.select("qid", (F.col("qid") + n).alias("id")))
 
 
-@query()
+def _replay_sql(events: list[updates.Event], inserts: str, steps: int, batch: str) -> str:
+    """One branch for each query event, against the state that the events before it left. Places are multiples of batch."""
+    parts, step, ratio = [], 0, 0.0
+    for e in events:
+        if e.kind == "insert":
+            step += 1
+        elif e.kind == "delete":
+            ratio = e.delete_to
+        else:
+            asked = f"qid between {e.qb} * {batch} and {e.qb + e.qn} * {batch} - 1"
+            alive = f"l.id not in (select id from hashes where h::uhugeint < {int(ratio * ((1 << 64) - 1))}::uhugeint)" if ratio else "true"
+            main = f"select qid, l.id, {S.l2('q', 'vec')} dist from probes p join q using (qid) join lists l on l.cid = p.id where {asked} and {alive}"
+            new = f"select qid, id, {S.l2('q', 'vec')} dist from delta, q where {asked} and id < {S.N_BASE} + ceil({inserts} * {step} / {steps})"
+            parts.append(f"select {e.seq}::int seq, qid, rank, id, round(dist, 6) dist from ({S.ranked(f'{main} union all {new}', S.K)})")
+    return f"{_ALL}, hashes as materialized (select * from {S.splitmixed('(select vec_id id from embeddings)')}) " + " union all ".join(parts)
+
+
+#: For a table of an even number of rows: two batches of queries, two steps of inserts and of deletes.
+_EVENTS = updates.mixed_events(2, 1, 2, 0.2, 2, seed=7)
+
+
+@query(_replay_sql(_EVENTS, "(select count(*) from delta)", 2, f"({S.N_BASE} // 2)"))
 def mixed_replay(spark, d):
     """A seeded interleaving of query batches, inserts and deletes, each batch against the state before it."""
-    i, (b, q) = built(spark, d).persist(), both(spark, d)
+    i, (b, q) = built(spark, d), both(spark, d)
     n = b.count()
-    delta = _delta(spark, d, i).persist()
+    delta = _delta(spark, d, i)
     events = updates.mixed_events(n, n // 2, delta.count(), 0.2, 2, seed=7)
     return rounded(updates.replay(events, i, b, q, delta, S.K, S.NPROBE, n))
 
@@ -649,3 +710,6 @@ def event_replay_order(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", "user_id", F.row_number().over(w).alias("seq"), F.sum((F.col("event_type") == "purchase").cast("long")).over(w).alias("done"))
+
+
+from vexel.plans import files as _files, growth as _growth  # noqa: E402,F401  they add theirs to QUERIES and SQL

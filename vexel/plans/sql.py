@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 #: Parameters of the registered queries; plans.queries uses the same.
 NLIST, ITERS, NPROBE, K, RERANK = 16, 3, 12, 10, 256
 M, WORDS, BCS, EVERY = 8, 16, 64, 20
@@ -117,3 +119,73 @@ def splitmixed(rows: str) -> str:
 #: Overlay fixtures: every seventh id is deleted; rows with id % 10 = 3, moved a little, are inserted.
 N_BASE = "(select count(*) from embeddings)"
 DELTA = f"delta as (select {N_BASE} + (row_number() over (order by id) - 1) id, list_transform(vec, lambda x: (x::double + 0.01)::float) vec from b where id % 10 = 3)"
+
+
+#: Bytes between the least and greatest element of the table: u(id, codes).
+U8 = "lims as (select min(list_min(embedding))::double lo, max(list_max(embedding))::double hi from embeddings), u as (select vec_id id, list_transform(embedding, lambda x: floor(greatest(0.0, least(255.0, (x::double - lo) * (255.0 / (hi - lo)))))::smallint) codes from embeddings, lims)"
+#: The place of a row in a file that holds the table by id.
+PLACE = "(select *, row_number() over (order by vec_id) - 1 place from embeddings)"
+
+
+def l2_int(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda v: (v[1]::bigint - v[2]::bigint) * (v[1]::bigint - v[2]::bigint)))::bigint"
+
+
+def floating(x: str, least: int, digits: int) -> tuple[str, str]:
+    """(code, value) of a number in a binary format: exponents from `least` on, that many digits after the first."""
+    e = f"(case when {x} = 0 then {least} else greatest({least}, floor(log2(abs({x})))) end)"
+    m = f"round_even(abs({x}) / pow(2, {e} - {digits}), 0)"
+    sign = 1 << 15
+    return f"(case when {x} < 0 then {sign} else 0 end + ({e} - {least}) * {1 << digits} + {m})::int", f"(case when {x} < 0 then -1 else 1 end * {m} * pow(2, {e} - {digits}))"
+
+
+def codes_and_error(values: str, code: str, decoded: str) -> str:
+    """values: list of doubles to encode; code, decoded: of one element x, the latter as float."""
+    return f"upper(array_to_string(list_transform({values}, lambda x: format('{{:02x}}{{:02x}}', {code} % 256, {code} // 256)), '')) codes, round({l2('embedding', f'list_transform({values}, lambda x: {decoded})')}, 9) error"
+
+
+def minibatch(steps: int) -> str:
+    """m0 to m<steps>: minibatch steps that each see the whole table, as they do up to one window of rows."""
+    parts = [trained(0), "m0 as materialized (select cid, c, 0 seen from c0)"]
+    for i in range(steps):
+        parts += [
+            nearest(f"z{i}", f"m{i}"),
+            f"""m{i + 1} as materialized (select o.cid, case when n is null then o.c else list_transform(list_zip(o.c, x), lambda v: round((1.0 - 1.0 / (seen + 1.0)) * v[1] + (1.0 / (seen + 1.0)) * v[2], 9)) end c, seen + coalesce(n, 0) seen from m{i} o
+            left join (select cid, max(n) n, list(x order by p) x from (select cid, p, count(*) n, avg(x) x from (select cid, unnest(vec)::double x, generate_subscripts(vec, 1) p from z{i}) group by cid, p) group by cid) n using (cid))""",
+        ]
+    return ", ".join(parts)
+
+
+def hierarchical(m: int = NLIST, iters: int = ITERS) -> str:
+    """h(cid, c): ceil(sqrt(m)) clusters; those beyond their share are split in as many as their rows call for."""
+    first = max(2, ceil(sqrt(m)))
+    parts = [
+        trained(iters, k=first), nearest("near", f"c{iters}"), "total as (select count(*) n from b)",
+        f"sizes as (select cid owner, count(*) s from near group by cid), split as (select owner, ceil(s * {m} / n)::int parts from sizes, total where s > greatest(1, ceil(n / {m})) and ceil(s * {m} / n) > 1)",
+        "h0 as materialized (select cid owner, sub, list_transform(vec, lambda x: x::double) c from (select near.*, parts, row_number() over (partition by cid order by ((id + cid) * 7919) % 10007, id) sub from near join split on owner = cid) where sub <= parts)",
+    ]
+    for i in range(iters):
+        parts += [
+            f"y{i} as materialized (select id, vec, owner, sub from (select id, vec, owner, sub, row_number() over (partition by id order by {l2('vec', 'c')}, sub) n from near join h{i} on owner = cid) where n = 1)",
+            f"""h{i + 1} as materialized (select o.owner, o.sub, coalesce(n.c, o.c) c from h{i} o left join (select owner, sub, list(x order by p) c from
+            (select owner, sub, p, round(avg(x), 9) x from (select owner, sub, unnest(vec)::double x, generate_subscripts(vec, 1) p from y{i}) group by owner, sub, p) group by owner, sub) n using (owner, sub))""",
+        ]
+    parts.append(f"h as (select (row_number() over (order by owner, sub) - 1)::int cid, c from (select * from h{iters} union all select cid, 0, c from c{iters} where cid in (select owner from sizes) and cid not in (select owner from split)))")
+    return ", ".join(parts)
+
+
+def pq_trained(m: int, k: int, iters: int) -> str:
+    """As codes(): resid, cut, and words0 to words<iters>(m, code, cw), trained from the first residuals; widths may differ."""
+    at = f"(m * (len(res) // {m}) + least(m, len(res) % {m}))"
+    parts = [
+        f"resid as materialized (select id, l.cid, list_transform(list_zip(vec, c), lambda x: x[1]::double - x[2]::double) res from lists l join c{ITERS} using (cid))",
+        f"cut as materialized (select id, cid, m, res[{at} + 1 : {at} + len(res) // {m} + case when m < len(res) % {m} then 1 else 0 end] x from resid, (select unnest(range({m}))::int m))",
+        f"words0 as materialized (select m, code, x cw from cut join (select id, (row_number() over (order by {START}, id) - 1)::int code from (select id from resid order by {START}, id limit {k})) using (id))",
+    ]
+    for i in range(iters):
+        parts += [
+            f"near{i} as materialized (select id, m, code, x from (select id, cut.m, code, x, row_number() over (partition by id, cut.m order by {l2('x', 'cw')}, code) n from cut join words{i} w on w.m = cut.m) where n = 1)",
+            f"""words{i + 1} as materialized (select o.m, o.code, coalesce(n.cw, o.cw) cw from words{i} o left join (select m, code, list(x order by p) cw from
+            (select m, code, p, round(avg(x), 9) x from (select m, code, unnest(x) x, generate_subscripts(x, 1) p from near{i}) group by m, code, p) group by m, code) n using (m, code))""",
+        ]
+    return ", ".join(parts)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from vexel.functions.hashing import digest_bits
 from vexel.operators.kernels import matrix
 
 _VALUE = {"fvecs": "<f4", "ivecs": "<i4", "bvecs": "u1", "u8bin": "u1", "fbin": "<f4", "gt": "<i4"}
@@ -193,8 +194,8 @@ def read_rows(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 def random_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
     """Uniform in [-1, 1), the same for the same seed however the rows are dealt: 24 bits of a digest of id, seed and place."""
-    bits = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), i.cast("string"))), 1, 6), 16, 10).cast("long")
-    return spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (bits(i) / float(1 << 23) - 1).cast("float")).alias("vec"))
+    x = lambda i: (digest_bits(6, F.col("id"), F.lit(seed), i) / float(1 << 23) - 1).cast("float")
+    return spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(dim)), x).alias("vec"))
 
 
 def encoded(v: np.ndarray, kind: str) -> bytes:

@@ -42,14 +42,14 @@ from vexel.llm.suffix_dedup import _KNOWN, _ROUTED, _WORK, _split, _table, dealt
 SHINGLE = 4
 PERCENT = 85
 #: Bytes of text for each bucket of documents, and of shingles; and whose shingles a task gathers before it sends them.
-DOC_BUCKET, KEY_BUCKET, SEND = 16 << 20, 16 << 20, 8 << 20
+DOC_BUCKET, KEY_BUCKET, SEND = 8 << 20, 8 << 20, 8 << 20
 #: Sizes for which the cost of subsets is reckoned; beyond, it exceeds any list's.
 LIGHTEST, LIGHT_LIMIT = 1, 24
 #: Lists in which heavy sets must meet to be compared. Sets that link and have so many shingles in common do, as the
 #: prefixes are longer by as much; those that link by fewer shingles meet in each of them, and a meeting then counts more.
 MEETINGS = 3
 #: Members of a list in one block, when its members are tested against each other.
-LIST_BLOCK = 1024
+LIST_BLOCK = 256
 #: Members of a list's largest component from which its pivot is asked before its members are.
 PIVOTED = 3
 #: Pairs that a task gathers before it adds up those that have met before.

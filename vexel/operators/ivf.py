@@ -26,6 +26,8 @@ from vexel.operators.topk import topk
 SHARDS = 256
 
 
+#: Of the equi-join: queries in a group, tasks that share a list.
+ASKING, SALTS = 64, 8
 #: Deleted ids that are sent to all tasks at most, 8 bytes each; more are joined.
 SENT_IDS = 1_000_000
 #: Of the saved form; another one is built anew.
@@ -100,9 +102,14 @@ def scan(lists: DataFrame, probes: DataFrame, queries: DataFrame, k: int, metric
 
     "arrow": a block of queries and its probes is broadcast; rows of lists that nobody probes are pruned by a join that
     Spark can turn into partition pruning; the others are scored list by list and only k rows a query leave a batch.
-    "sql": an equi-join by list; for query sets of any size."""
+    "sql": an equi-join by list, for query sets of any size. Queries that ask a list go to it ASKING at a time, so that a
+    vector is copied once for each group of them, and the rows of a list are dealt over SALTS tasks."""
     if impl == "sql":
-        pairs = probes.select("qid", "cid").join(queries.select("qid", "q"), "qid").join(lists.select("id", "cid", "vec"), "cid")
+        place = F.row_number().over(Window.partitionBy("cid").orderBy("qid")) - 1
+        asks = probes.select("qid", "cid").withColumn("_g", F.floor(place / ASKING)).join(queries.select("qid", "q"), "qid")
+        asks = asks.groupBy("cid", "_g").agg(F.collect_list(F.struct("qid", "q")).alias("_asks")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = lists.select("id", "cid", "vec").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        pairs = rows.join(asks, ["cid", "_salt"]).select("id", "vec", F.inline("_asks"))
         return topk(pairs.select("qid", "id", distance(metric, "q", "vec").alias("dist")), k).select("qid", "rank", "id", "dist")
     if impl != "arrow":
         raise ValueError(f"impl {impl!r}: arrow or sql")

@@ -85,7 +85,7 @@ def l2_squared(spark, d):
 
 def _pairs(spark, d) -> DataFrame:
     b, q = both(spark, d)
-    return b.crossJoin(F.broadcast(q))  # a stated query set
+    return b.crossJoin(brute.small(q))  # a stated query set
 
 
 @query(f"with {S.BASE} select qid, id, round({S.dot('q', 'vec')}, 6) ip from b, q")
@@ -130,7 +130,7 @@ def u8_l2(spark, d):
     b = base_of(spark, d)
     u = quant.MinMaxU8().train(b).encode(b).select("id", "codes")
     q = u.filter(F.col("id") % S.EVERY == 0).select(F.col("id").alias("qid"), F.col("codes").alias("q"))
-    return u.crossJoin(F.broadcast(q)).select("qid", "id", vector.l2_distance_int("q", "codes").alias("dist"))
+    return u.crossJoin(brute.small(q)).select("qid", "id", vector.l2_distance_int("q", "codes").alias("dist"))
 
 
 @query("select min(list_min(embedding))::double lo, max(list_max(embedding))::double hi from embeddings")
@@ -247,7 +247,7 @@ def select_k_largest(spark, d):
 @query(f"with {S.BASE}, r as ({S.knn(where='(id + qid) % 3 <> 0')}) {S.result('r')}")
 def masked_knn(spark, d):
     b, q = both(spark, d)
-    slots = b.select("id").crossJoin(F.broadcast(q.select("qid"))).select("qid", F.when((F.col("id") + F.col("qid")) % 3 == 0, -1).otherwise(F.col("id")).alias("id"))
+    slots = b.select("id").crossJoin(brute.small(q.select("qid"))).select("qid", F.when((F.col("id") + F.col("qid")) % 3 == 0, -1).otherwise(F.col("id")).alias("id"))
     return rounded(brute.masked_knn(b, slots, q, S.K))
 
 

@@ -3,7 +3,7 @@
 A text, with each run of blanks made one space, is cut where a rolling hash of its last bytes says so. Each chunk gets
 an identifier; a text is then the ordered list of its chunks' identifiers (its recipe), and two texts are equal when
 their recipes are. Chunk contents move once, after equal chunks have met in the batch that found them; documents are
-compared by recipes alone.
+compared by recipes alone, of which a SHA-256 digest moves, so that a long text costs no more than a short one.
 
 Identifiers are verified: contents that share an identifier are compared byte by byte. Should two differ, recipes that
 use that identifier are also told apart by the SHA-256 of the whole text, so a weak identifier costs time, not rows.
@@ -128,9 +128,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         part = F.expr(f"explode(transform(sequence(0, n_chunks - 1), i -> substring(recipe, i * {digest_bytes} + 1, {digest_bytes})))")
         told = rows.filter("n_chunks > 0").select("_tag", part.alias("digest")).join(shared, "digest", "left_semi").select("_tag").distinct().withColumn("_told", F.lit(True))
         rows = rows.join(told, "_tag", "left").withColumn("_apart", F.when(F.col("_told"), F.col("text_sha256")).otherwise("")).drop("_told")
+    rows = rows.withColumn("_recipe", F.sha2("recipe", 256)).drop("recipe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_tag").alias("tag"))).alias("_first")
-    groups = rows.groupBy("recipe", "_apart").agg(first, F.count("*").alias("group_size")).filter("group_size > 1")
-    out = rows.join(groups, ["recipe", "_apart"], "left")
+    groups = rows.groupBy("_recipe", "_apart").agg(first, F.count("*").alias("group_size")).filter("group_size > 1")
+    out = rows.join(groups, ["_recipe", "_apart"], "left")
     return out.select(
         "doc_id", *extra,
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("_first.id")).alias("keep_id"),

@@ -21,7 +21,6 @@ from vexel.llm.common import Points
 
 STATE = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint"
 DOCS = "doc_id bigint, text string, lang string, source string, _row int, `_ROW2` int, first boolean, recipe string"
-BLANK = re.compile(r"[\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -190,22 +189,30 @@ ODD = [(*r, 0, 0, True, "x") for r in ODD]
 
 
 def test_op1_after_each_batch(spark, tmp_path, counter):
-    got = queries.op1_token_counts(spark, tables(spark, tmp_path / "t", ODD)).collect()
+    """Totals of all documents, of those that are left and tidied, and of all again; from the query, of all."""
+    at = tables(spark, tmp_path / "t", rows := [*ODD, (10, "p  q", "en", "s1", 0, 0, True, "x"), (11, "p  q", "en", "s2", 0, 0, True, "x"), (12, "p  q r", "en", "s2", 0, 0, True, "x")])
     count = {"words-v1": lambda t: len((t or "").encode().split()), "byte_bpe_50k-v1": lambda t: counter([(t or "").encode()])[0]}
-    first, seen = {}, set()
-    for d, t, *_ in sorted((r for r in ODD if r[0] is not None), key=lambda r: r[0]):
-        first.setdefault(BLANK.sub(" ", t or ""), d)
-    stages = {"load": [r for r in ODD]}
-    stages["revise"] = [(r[0], BLANK.sub(" ", r[1] or "") if r[0] is not None else r[1], *r[2:]) for r in ODD]
-    stages["delete"] = [r for r in stages["revise"] if r[0] is None or first[r[1] or ""] == r[0]]
-    want = {}
-    for after, rows in stages.items():
-        for _, t, lang, source, *_ in rows:
+    times = Counter(r[0] for r in rows)
+    alone, first = [r for r in rows if r[0] is not None and times[r[0]] == 1], {}
+    for r in sorted(alone):
+        first.setdefault(r[1] or "", r[0])
+    gone = {r[0] for r in alone if first[r[1] or ""] != r[0]}
+    tidy = [(r[0], re.sub("  +", " ", r[1] or "") if r in alone else r[1], *r[2:]) for r in rows if r[0] not in gone]
+
+    def totals(documents):
+        want = {}
+        for _, t, lang, source, *_ in documents:
             for name, n in count.items():
-                docs, tokens = want.get((after, source, lang, name), (0, 0))
-                want[after, source, lang, name] = (docs + 1, tokens + n(t))
-    assert {(r.after, r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in got} == want
-    del seen
+                docs, tokens = want.get((source, lang, name), (0, 0))
+                want[source, lang, name] = (docs + 1, tokens + n(t))
+        return want
+
+    found = lambda df: {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in df.collect()}
+    versions = {"words-v1": token_counts.count_words, "byte_bpe_50k-v1": counter}
+    r = queries.tidied_and_restored(spark.read.parquet(f"{at}/documents.parquet"), versions, str(tmp_path / "r"))
+    assert r.committed() == ["load", "restore", "tidy"] and gone and r.rejected().count() == 0
+    assert [found(r.totals(v)) for v in (1, 2, 3)] == [totals(rows), totals(tidy), totals(rows)] and totals(tidy) != totals(rows)
+    assert found(queries.op1_token_counts(spark, at)) == totals(rows)
 
 
 def test_queries_on_odd_and_empty_tables(spark, tmp_path):

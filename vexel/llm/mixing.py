@@ -75,7 +75,7 @@ def schedule(shares: DataFrame, block: int) -> DataFrame:
     sequence gives come first; closing ones follow."""
     need = shares.select("rank", F.floor("target").cast("long").alias("whole")).withColumn("need", F.ceil(F.col("whole") / block).cast("long"))
     n = need.agg(F.coalesce(F.sum("need"), F.lit(0)).alias("n")).first()["n"]
-    dealt = cut(slots(shares, n).join(F.broadcast(need), "rank").filter("r < need").select("slot", "rank", "r", "whole"))  # one row for each source
+    dealt = cut(slots(shares, n).join(need, "rank").filter("r < need").select("slot", "rank", "r", "whole"))
     have = dealt.groupBy("rank").agg(F.count("*").alias("have"))
     lacking = need.join(have, "rank", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < need")
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,32 +14,36 @@ from vexel.llm.common import cut, documents, remove, shared_dir
 TOKENIZERS = "/opt/tokenizers"
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """Totals under two tokenizer versions after each of three batches, all of which come twice and count once: all
-    documents are loaded; texts with runs of blanks are revised to one space each; of equal texts all but that of the
-    smallest doc_id are deleted. after, source, lang, tokenizer, docs, tokens."""
-    versions = {"words-v1": token_counts.count_words, "byte_bpe_50k-v1": token_counts.byte_pair(f"{tokenizers}/byte_bpe_50k.tiktoken")}
-    rollup = token_counts.TokenRollup(spark, root := f"{shared_dir(spark)}/token_rollup/{uuid.uuid4().hex}")
-    docs = documents(spark, sf_dir).withColumn("order", F.lit(0))
-    single = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    revised = docs.withColumn("_single", single).filter(F.col("_single") != F.coalesce("text", F.lit(""))).withColumn("text", F.col("_single"))
-    named = docs.filter("doc_id is not null").select("doc_id", F.sha2(single, 256).alias("h"))
+def tidied_and_restored(docs: DataFrame, versions: dict, root: str) -> token_counts.TokenRollup:
+    """A rollup after three batches, each of which comes twice and counts once. load: all documents. tidy: texts with runs
+    of spaces are revised to one space each, and of equal texts all but that of the smallest doc_id are deleted. restore:
+    what tidy has touched is inserted and revised to its whole text again, so that the totals are those of the load.
+    Rows without an id, and rows that repeat one, are counted by the load and not touched: a change names one document."""
+    rollup = token_counts.TokenRollup(docs.sparkSession, root)
+    counted = cut(token_counts.count_tokens(docs, versions))
+    alone = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n = 1").select("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    named = docs.filter("doc_id is not null").select("doc_id", F.sha2(text, 256).alias("h")).join(alone, "doc_id", "left_semi")
     first = named.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = named.join(first, "h").filter("doc_id <> first").select("doc_id").distinct()
-    gone = copies.withColumn("tokenizer", F.explode(F.array(*map(F.lit, versions))))
-    none = lambda kind: F.lit(None).cast(kind)
-    batches = {
-        "load": token_counts.count_tokens(docs, versions),
-        "revise": token_counts.count_tokens(revised, versions).withColumn("op", F.lit("revise")),
-        "delete": gone.select("doc_id", none("string").alias("source"), none("string").alias("lang"), "tokenizer", none("long").alias("tokens"), F.lit("delete").alias("op")),
-    }
-    out = None
-    for name, changes in batches.items():
+    copies = cut(named.join(first, "h").filter("doc_id <> first").select("doc_id"))
+    single = docs.filter("doc_id is not null").filter(text.rlike(r"\x20\x20")).withColumn("text", F.regexp_replace("text", r"\x20\x20+", " "))
+    revised = token_counts.count_tokens(single, versions).join(alone, "doc_id", "left_semi").join(copies, "doc_id", "left_anti")
+    revised = cut(revised.drop(token_counts.ROW).withColumn("op", F.lit("revise")))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("source", "string"), ("lang", "string"), ("tokens", "long"))]
+    deleted = copies.select("doc_id", F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), *none, F.lit("delete").alias("op"))
+    touched = copies.unionByName(revised.select("doc_id").distinct())
+    restored = counted.drop(token_counts.ROW).join(touched, "doc_id", "left_semi").withColumn("op", F.lit("insert"))
+    for name, changes in (("load", counted), ("tidy", revised.unionByName(deleted)), ("restore", restored)):
         for _ in range(2):
             rollup.commit(name, changes, set_aside=True)
-        now = rollup.totals().select(F.lit(name).alias("after"), "*")
-        out = now if out is None else out.unionByName(now)
-    out = cut(out)
+    return rollup
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """All documents under two tokenizer versions, after a load, revisions and deletes, and a batch that restores them."""
+    versions = {"words-v1": token_counts.count_words, "byte_bpe_50k-v1": token_counts.byte_pair(f"{tokenizers}/byte_bpe_50k.tiktoken")}
+    root = f"{shared_dir(spark)}/token_rollup/{uuid.uuid4().hex}"
+    out = cut(tidied_and_restored(documents(spark, sf_dir), versions, root).totals())
     remove(spark, root)
     return out
 

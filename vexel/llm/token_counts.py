@@ -34,7 +34,7 @@ from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm.common import raw, runs, shared_dir
@@ -140,12 +140,15 @@ class TokenRollup:
         return self.spark.read.parquet(*paths) if paths else None
 
     def committed(self) -> list[str]:
-        names = self._read(self._entries(self.version()), "batch", "batches")
-        return sorted(r.batch for r in names.toLocalIterator()) if names is not None else []
+        entries = self._entries(self.version())
+        old = self._read(entries[:1], "", "batches") if entries and entries[0]["snapshot"] else None
+        return sorted({e["batch"] for e in entries} | ({r.batch for r in old.toLocalIterator()} if old is not None else set()))
 
     def _has(self, entries: list[dict], batch_id: str) -> bool:
-        names = self._read(entries, "batch", "batches")
-        return names is not None and not names.filter(F.col("batch") == batch_id).isEmpty()
+        """Entries name their batches; those before the last snapshot are in its table."""
+        if any(e["batch"] == batch_id for e in entries):
+            return True
+        return bool(entries) and entries[0]["snapshot"] and not self._read(entries[:1], "", "batches").filter(F.col("batch") == batch_id).isEmpty()
 
     def state(self) -> DataFrame | None:
         """The counted documents as they are now; sign: how many rows are alike."""
@@ -157,9 +160,9 @@ class TokenRollup:
             ledger = ledger.join(of, ["doc_id", "tokenizer"], "left_semi")
         return ledger if ledger is None else ledger.groupBy(*STATE).agg(F.sum("sign").alias("sign")).filter("sign > 0")
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens; groups whose documents are all gone are left out."""
-        return self._totals(self._entries(self.version())).filter("docs > 0")
+    def totals(self, version: int | None = None) -> DataFrame:
+        """source, lang, tokenizer, docs, tokens, now or as of a version; groups whose documents are all gone are left out."""
+        return self._totals(self._entries(self.version() if version is None else version)).filter("docs > 0")
 
     def _totals(self, entries: list[dict]) -> DataFrame:
         d = self._read(entries, "delta", "totals")
@@ -168,9 +171,9 @@ class TokenRollup:
         return d.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def rejected(self) -> DataFrame:
-        """batch, reason, rows: what was set aside by the commits since the last snapshot, that of the snapshot included."""
-        d = self._read(self._entries(self.version()), "rejected", "rejected")
-        return d if d is not None else self.spark.createDataFrame([], "batch string, reason string, rows bigint")
+        """batch, reason, rows: what the commits since the last snapshot, that of the snapshot included, have set aside."""
+        paths = [f"{self.root}/{e['data']}/rejected" for e in self._entries(self.version()) if e["rejects"]]
+        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], "batch string, reason string, rows bigint")
 
     def commit(self, batch_id: str, changes: DataFrame, set_aside: bool = False) -> bool:
         """changes: doc_id, source, lang, tokenizer, tokens and, if they are not all inserts, op (insert, revise,
@@ -194,31 +197,36 @@ class TokenRollup:
             if self._publish(staged, batch_id, version + 1):
                 return True
 
-    def _stage(self, batch_id: str, changes: DataFrame, reason, entries: list[dict], version: int) -> str:
-        """Writes what the batch comes to after the given commits; returns its folder."""
+    def _stage(self, batch_id: str, changes: DataFrame, reason: Column | None, entries: list[dict], version: int) -> str:
+        """Writes what the batch comes to after the given commits; returns its folder. Changes are computed once."""
         data = f"data/{uuid.uuid4().hex}"
-        at = f"{self.root}/{data}"
-        bad = changes.groupBy(F.lit(batch_id).alias("batch"), reason.alias("reason")).agg(F.count("*").alias("rows")).filter("reason is not null") if reason is not None else None
-        (bad if bad is not None else self.spark.createDataFrame([], "batch string, reason string, rows bigint")).coalesce(1).write.parquet(f"{at}/rejected")
-        changes = (changes if reason is None else changes.filter(reason.isNull())).select(*STATE, "op", "order", ROW)
+        at, read = f"{self.root}/{data}", self.spark.read.parquet
+        changes = changes.select(*STATE, "op", "order", ROW, (F.lit(None).cast("string") if reason is None else reason).alias("reason"))
         fields = ["order", "op", "tokens", "source", "lang"]
-        last = changes.groupBy("doc_id", ROW, "tokenizer").agg(F.max(F.struct(*fields)).alias("c")).select("doc_id", "tokenizer", *(f"c.{f}" for f in fields))
+        last = changes.groupBy("doc_id", ROW, "tokenizer", "reason").agg(F.max(F.struct(*fields)).alias("c"), F.count("*").alias("rows"))
+        last.select("doc_id", ROW, "tokenizer", "reason", "rows", *(f"c.{f}" for f in fields)).write.parquet(f"{at}/changes")
+        if reason is not None:
+            bad = read(f"{at}/changes").filter("reason is not null").groupBy("reason").agg(F.sum("rows").alias("rows"))
+            bad.select(F.lit(batch_id).alias("batch"), "reason", "rows").write.parquet(f"{at}/rejected")
+        last = read(f"{at}/changes").filter("reason is null")
         new = last.filter("op <> 'delete'").select(*STATE, F.lit(1).cast("long").alias("sign"))
         if entries:
             before = self._state(entries, last.filter("doc_id is not null").select("doc_id", "tokenizer"))
             new = before.select(*STATE, (-F.col("sign")).alias("sign")).unionByName(new)
         new.write.parquet(f"{at}/ledger")
-        ledger = self.spark.read.parquet(f"{at}/ledger")
+        ledger = read(f"{at}/ledger")
         delta = ledger.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
         delta.write.parquet(f"{at}/delta")
-        batch = self.spark.createDataFrame([(batch_id,)], "batch string").coalesce(1)
-        batch.write.parquet(f"{at}/batch")
         if version % SNAPSHOT == 0:
             before = self._read(entries, "ledger", "state").unionByName(ledger)
             before.groupBy(*STATE).agg(F.sum("sign").alias("sign")).filter("sign > 0").write.parquet(f"{at}/state")
-            sums = self._totals(entries).unionByName(self.spark.read.parquet(f"{at}/delta")).groupBy("source", "lang", "tokenizer")
+            sums = self._totals(entries).unionByName(read(f"{at}/delta")).groupBy("source", "lang", "tokenizer")
             sums.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs > 0").write.parquet(f"{at}/totals")
-            self._read(entries, "batch", "batches").unionByName(batch).write.parquet(f"{at}/batches")
+            names = self.spark.createDataFrame([(e["batch"],) for e in entries] + [(batch_id,)], "batch string")
+            if entries[0]["snapshot"]:
+                names = names.unionByName(self._read(entries[:1], "", "batches"))
+            names.distinct().write.parquet(f"{at}/batches")
+        self._files.delete(self._path(data, "changes"), True)
         return data
 
     def _publish(self, staged: str, batch_id: str, version: int | None = None) -> bool:
@@ -230,7 +238,7 @@ class TokenRollup:
         version = version or self.version() + 1
         entry = self._path(f"_entry-{uuid.uuid4().hex}")
         f = self._files.create(entry, False)
-        f.write(json.dumps({"batch": batch_id, "data": staged, "snapshot": version % SNAPSHOT == 0}).encode())
+        f.write(json.dumps({"batch": batch_id, "data": staged, "snapshot": version % SNAPSHOT == 0, "rejects": self._files.exists(self._path(staged, "rejected"))}).encode())
         f.close()
         self._files.mkdirs(self._path("log"))
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -234,3 +234,28 @@ def test_no_machine_folder_on_a_cluster(spark, monkeypatch):
 def test_manifest_is_json(spark, tmp_path, points):
     V.write_parts(frame(spark, points), str(tmp_path / "m.fbin"), "fbin")
     assert {"name", "n"} == set(json.loads((tmp_path / "m.fbin" / V.MANIFEST).read_text())[0])
+
+
+def test_joined_codes_are_added_in_order(spark):
+    """The join form adds up subspaces from first to last: to the last bit, whatever the shuffle does."""
+    x = np.random.default_rng(3).normal(size=(300, 12))
+    b = frame(spark, x)
+    i = ivf.IVFIndex.build(b, 3, iters=1)
+    book = pq.sampled_codebook(i, 12, 4)
+    codes, q = pq.encode(i, book), asks(b)
+    of = {r.id: (r.cid, r.codes) for r in codes.collect()}
+    asked = {r.qid: np.array(r.q, float) for r in q.collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pq.adc_sql(codes, i, book, q, i.route(q, 3), 40).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for r in found:
+        cid, code = of[r.id]
+        d = 0.0
+        for m, w in enumerate(code):
+            off = float(asked[r.qid][m] - i.centroids[cid][m] - book.words[m][w][0])
+            d += off * off
+        assert d == r.dist

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +201,8 @@ def adc(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFrame, p
 
 
 def adc_sql(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFrame, probes: DataFrame, n: int) -> DataFrame:
-    """The same in joins: codes against words, summed."""
+    """The same in joins: codes against words, added up from the first subspace to the last, so that equal codes are equally
+    far in any run."""
     from vexel.functions.vector import l2_distance
     from vexel.operators.kmeans import centroid_frame
 
@@ -210,7 +212,9 @@ def adc_sql(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFram
     cut = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.slice("r", e[i] + 1, e[i + 1] - e[i]).alias("x")) for i in range(book.m)))).alias("s")
     lut = qr.select("qid", "cid", cut).join(F.broadcast(book.frame(spark)), F.col("s.m") == F.col("m")).select("qid", "cid", "m", "code", l2_distance("s.x", "cw").alias("d"))
     each = codes.select("id", "cid", F.posexplode("codes").alias("m", "code"))
-    return topk(each.join(lut, ["cid", "m", "code"]).groupBy("qid", "id").agg(F.sum("d").alias("dist")), n).select("qid", "rank", "id", "dist")
+    parts = [F.max(F.when(F.col("m") == i, F.col("d"))).alias(f"_d{i}") for i in range(book.m)]
+    total = reduce(lambda a, b: a + b, (F.col(f"_d{i}") for i in range(book.m)))
+    return topk(each.join(lut, ["cid", "m", "code"]).groupBy("qid", "id").agg(*parts).select("qid", "id", total.alias("dist")), n).select("qid", "rank", "id", "dist")
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:

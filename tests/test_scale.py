@@ -259,3 +259,31 @@ def test_joined_codes_are_added_in_order(spark):
             off = float(asked[r.qid][m] - i.centroids[cid][m] - book.words[m][w][0])
             d += off * off
         assert d == r.dist
+
+
+@pytest.mark.parametrize("name", ["l2_distance", "cosine_distance", "u8_l2", "select_k_largest", "knn_l2_sql"])
+def test_no_lambda_over_all_pairs(spark, name):
+    """Pairs of all rows and queries are not measured one by one in interpreted lambdas."""
+    plan = plan_of(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_all_pairs_are_those_of_columns(spark, points, monkeypatch):
+    from vexel.functions import vector
+
+    monkeypatch.setattr(brute, "PAIRS", (3, 7))
+    x = np.vstack([points, np.zeros((1, 6))])
+    b = frame(spark, x)
+    q = asks(b)
+    got = brute.all_pairs(b, q, {"l": "l2", "i": "ip", "n": "norm", "c": "cosine"}, block=4)
+    want = b.crossJoin(q).select("qid", "id", vector.l2_distance("q", "vec"), vector.inner_product("q", "vec"), vector.l2_norm("vec"), vector.cosine_distance("q", "vec"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_likely_pairs_hold_all_ties(spark):
+    """Copies tie; of them the least ids are found by both forms, and by odd vectors as by columns alone."""
+    b = frame(spark, np.repeat(np.random.default_rng(5).normal(size=(12, 6)), 9, axis=0))
+    q = asks(b)
+    assert by_query(brute.brute_force_knn(b, q, 5, impl="sql")) == by_query(brute.brute_force_knn(b, q, 5))
+    odd = b.unionByName(spark.createDataFrame([(900, None), (901, [1.0]), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0])], SCHEMA))
+    assert by_query(brute.brute_force_knn(odd, q, 5, impl="sql")) == by_query(brute.brute_force_knn(b, q, 5))

@@ -95,7 +95,7 @@ def inner_product(spark, d):
 
 @query(f"with {S.BASE} select qid, id, round({S.l2('q', 'vec')}, 6) dist from b, q")
 def l2_distance(spark, d):
-    return _pairs(spark, d).select("qid", "id", F.round(vector.l2_distance("q", "vec"), 6).alias("dist"))
+    return rounded(brute.all_pairs(*both(spark, d), {"dist": "l2"}))
 
 
 @query(f"with {S.BASE} select qid, id, round({S.cosine('q', 'vec')}, 6) dist from b, q")

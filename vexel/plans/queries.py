@@ -100,7 +100,7 @@ def l2_distance(spark, d):
 
 @query(f"with {S.BASE} select qid, id, round({S.cosine('q', 'vec')}, 6) dist from b, q")
 def cosine_distance(spark, d):
-    return _pairs(spark, d).select("qid", "id", F.round(vector.cosine_distance("q", "vec"), 6).alias("dist"))
+    return rounded(brute.all_pairs(*both(spark, d), {"dist": "cosine"}))
 
 
 @query(f"with {S.BASE} select qid, id, round({S.l2('q', 'vec')}, 6) l2, round({S.dot('q', 'vec')}, 6) ip, round(sqrt({S.dot('vec', 'vec')}), 6) norm, round({S.cosine('q', 'vec')}, 6) cos from b, q")

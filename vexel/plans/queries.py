@@ -240,8 +240,7 @@ def groundtruth(spark, d):
 
 @query(f"with {S.BASE}, r as ({S.ranked('select qid, id, ' + S.dot('q', 'vec') + ' dist from b, q', S.K, order='dist desc, id')}) {S.result('r')}")
 def select_k_largest(spark, d):
-    p = _pairs(spark, d).select("qid", "id", vector.inner_product("q", "vec").alias("dist"))
-    return rounded(topk(p, S.K, largest=True).select("qid", "rank", "id", "dist"))
+    return rounded(brute.largest_k(*both(spark, d), S.K))
 
 
 @query(f"with {S.BASE}, r as ({S.knn(where='(id + qid) % 3 <> 0')}) {S.result('r')}")

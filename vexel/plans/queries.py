@@ -130,7 +130,8 @@ def u8_l2(spark, d):
     b = base_of(spark, d)
     u = quant.MinMaxU8().train(b).encode(b).select("id", "codes")
     q = u.filter(F.col("id") % S.EVERY == 0).select(F.col("id").alias("qid"), F.col("codes").alias("q"))
-    return u.crossJoin(brute.small(q)).select("qid", "id", vector.l2_distance_int("q", "codes").alias("dist"))
+    found = brute.all_pairs(u.select("id", F.col("codes").alias("vec")), q, {"dist": "l2"})  # whole numbers, exact in doubles
+    return found.select("qid", "id", F.col("dist").cast("long").alias("dist"))
 
 
 @query("select min(list_min(embedding))::double lo, max(list_max(embedding))::double hi from embeddings")

@@ -287,3 +287,17 @@ def test_likely_pairs_hold_all_ties(spark):
     assert by_query(brute.brute_force_knn(b, q, 5, impl="sql")) == by_query(brute.brute_force_knn(b, q, 5))
     odd = b.unionByName(spark.createDataFrame([(900, None), (901, [1.0]), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0])], SCHEMA))
     assert by_query(brute.brute_force_knn(odd, q, 5, impl="sql")) == by_query(brute.brute_force_knn(b, q, 5))
+
+
+def test_lists_are_joined_without_all_their_pairs(spark, points, monkeypatch):
+    """The equi-join form measures in columns what groups of a list's rows and queries leave, whatever their sizes."""
+    b = frame(spark, points)
+    i, q = ivf.IVFIndex.build(b, 4, iters=1), asks(b)
+    probes = i.route(q, 3)
+    want = by_query(ivf.scan(i.lists, probes, q, 5))
+    for asking, listed in ((4096, 32768), (3, 2)):
+        monkeypatch.setattr(ivf, "ASKING", asking)
+        monkeypatch.setattr(ivf, "LISTED", listed)
+        found = ivf.scan(i.lists, probes, q, 5, impl="sql")
+        assert "inline(" not in plan_of(found) and "CoGroups" in plan_of(found)
+        assert by_query(found) == want

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from vexel.functions.vector import distance, inner_product
 from vexel.operators import kmeans, layout
-from vexel.operators.brute import QUERY_BLOCK, query_blocks
-from vexel.operators.kernels import exact, matrix, products, shortlist
+from vexel.operators.brute import QUERY_BLOCK, pairs_batch, query_blocks, uniform
+from vexel.operators.kernels import candidates, exact, matrix, products, shortlist
 from vexel.operators.quant import MinMaxU8
 from vexel.operators.topk import topk
 
@@ -26,8 +26,8 @@ from vexel.operators.topk import topk
 SHARDS = 256
 
 
-#: Of the equi-join: queries in a group, tasks that share a list.
-ASKING, SALTS = 64, 8
+#: Of the equi-join: queries in a group, groups that share a list, rows of a list in a group.
+ASKING, SALTS, LISTED = 4096, 8, 32768
 #: Deleted ids that are sent to all tasks at most, 8 bytes each; more are joined.
 SENT_IDS = 1_000_000
 #: Of the saved form; another one is built anew.
@@ -102,14 +102,14 @@ def scan(lists: DataFrame, probes: DataFrame, queries: DataFrame, k: int, metric
 
     "arrow": a block of queries and its probes is broadcast; rows of lists that nobody probes are pruned by a join that
     Spark can turn into partition pruning; the others are scored list by list and only k rows a query leave a batch.
-    "sql": an equi-join by list, for query sets of any size. Queries that ask a list go to it ASKING at a time, so that a
-    vector is copied once for each group of them, and the rows of a list are dealt over SALTS tasks."""
+    "sql": an equi-join by list, for query sets of any size, measured in column expressions. Queries that ask a list go to
+    it about ASKING at a time, so that a vector is copied once for each group of them, and the rows of a list are dealt over
+    SALTS or more groups, LISTED rows in each. Pairs of a group that a matrix product rules out are not measured."""
     if impl == "sql":
-        place = F.row_number().over(Window.partitionBy("cid").orderBy("qid")) - 1
-        asks = probes.select("qid", "cid").withColumn("_g", F.floor(place / ASKING)).join(queries.select("qid", "q"), "qid")
-        asks = asks.groupBy("cid", "_g").agg(F.collect_list(F.struct("qid", "q")).alias("_asks")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = lists.select("id", "cid", "vec").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        pairs = rows.join(asks, ["cid", "_salt"]).select("id", "vec", F.inline("_asks"))
+        if not uniform((lists, "vec"), (queries, "q")):
+            pairs = probes.select("qid", "cid").join(queries.select("qid", "q"), "qid").join(lists.select("id", "cid", "vec"), "cid")
+        else:
+            pairs = _likely_by_list(lists, probes, queries, k, metric)
         return topk(pairs.select("qid", "id", distance(metric, "q", "vec").alias("dist")), k).select("qid", "rank", "id", "dist")
     if impl != "arrow":
         raise ValueError(f"impl {impl!r}: arrow or sql")
@@ -151,6 +151,33 @@ def scan(lists: DataFrame, probes: DataFrame, queries: DataFrame, k: int, metric
     return topk(found, k).select("qid", "rank", "id", "dist")
 
 
+def _likely_by_list(lists: DataFrame, probes: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """qid, q, id, vec: the pairs of probed lists that may be among a query's k best."""
+    most = lambda df: df.groupBy("cid").count().agg(F.max("count")).first()[0] or 1
+    groups, salts = -(-most(probes) // ASKING), max(SALTS, -(-most(lists) // LISTED))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = probes.select("qid", "cid").join(queries.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q")), "qid")
+    asks = asks.withColumn("_g", deal("qid", groups)).withColumn("_salt", every(salts)).select("cid", "_salt", "_g", "qid", "q")
+    rows = lists.select("cid", deal("id", salts).alias("_salt"), "id", "vec").withColumn("_g", every(groups))
+    kind = lists.schema["id"].dataType.simpleString()
+
+    def work(rows: pa.Table, asks: pa.Table):
+        if not rows.num_rows or not asks.num_rows:
+            return
+        q, v = matrix(asks.column("q")), matrix(rows.column("vec"))
+        qids, ids = asks.column("qid").to_numpy(), rows.column("id").combine_chunks()
+        r, c = candidates(q, v, k, metric)
+        for a in range(0, len(r), 8192):
+            yield pairs_batch(qids, q, ids, v, r[a : a + 8192], c[a : a + 8192])
+
+    def joined(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(work(rows, asks)), schema=pa.schema([("qid", pa.int64()), ("q", pa.list_(pa.float64())), ("id", rows.schema.field("id").type), ("vec", pa.list_(pa.float64()))]))
+
+    key = ["cid", "_salt", "_g"]
+    return rows.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(joined, f"qid bigint, q array<double>, id {kind}, vec array<double>")
+
+
 def list_inner_products(lists: DataFrame, probes: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
     """qid, cid, id, ip of every row of the probed lists; `most`: the first so many rows of a list, by id."""
     pairs = probes.select("qid", "cid").join(queries.select("qid", "q"), "qid").join(lists.select("id", "cid", "vec"), "cid")

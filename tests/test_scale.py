@@ -261,7 +261,7 @@ def test_joined_codes_are_added_in_order(spark):
         assert d == r.dist
 
 
-@pytest.mark.parametrize("name", ["l2_distance", "cosine_distance", "u8_l2", "select_k_largest", "knn_l2_sql"])
+@pytest.mark.parametrize("name", ["l2_distance", "cosine_distance", "u8_l2", "select_k_largest", "knn_l2_sql", "sql_functions"])
 def test_no_lambda_over_all_pairs(spark, name):
     """Pairs of all rows and queries are not measured one by one in interpreted lambdas."""
     plan = plan_of(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))

@@ -105,9 +105,10 @@ def cosine_distance(spark, d):
 
 @query(f"with {S.BASE} select qid, id, round({S.l2('q', 'vec')}, 6) l2, round({S.dot('q', 'vec')}, 6) ip, round(sqrt({S.dot('vec', 'vec')}), 6) norm, round({S.cosine('q', 'vec')}, 6) cos from b, q")
 def sql_functions(spark, d):
-    vector.register(spark)
-    _pairs(spark, d).select("qid", "id", F.col("q").cast("array<double>").alias("q"), F.col("vec").cast("array<double>").alias("vec")).createOrReplaceTempView("vexel_pairs")
-    return spark.sql("select qid, id, round(l2_sq(q, vec), 6) l2, round(inner_product(q, vec), 6) ip, round(l2_norm(vec), 6) norm, round(cosine_distance(q, vec), 6) cos from vexel_pairs")
+    b, q = both(spark, d)
+    vector.register_pairs(spark, q)
+    b.select(F.col("id").cast("long").alias("id"), "vec").createOrReplaceTempView("vexel_rows")
+    return spark.sql("select qid, id, round(l2, 6) l2, round(ip, 6) ip, round(norm, 6) norm, round(cos, 6) cos from vexel_distances(table(select id, vec from vexel_rows))")
 
 
 @query("select vec_id id, list_transform(embedding, lambda x: round_even(greatest(0.0, least(255.0, x::double * 100)), 0)::smallint) codes from embeddings".replace("list_transform", "array_to_string(list_transform", 1).replace("::smallint) codes", "::smallint), ',') codes"))

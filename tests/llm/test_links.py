@@ -87,3 +87,22 @@ def test_a_meeting_counts_as_much_as_it_must():
     for need in range(1, 9):
         meets = min(need, jaccard_join.MEETINGS)
         assert meets * jaccard_join.weight(need) >= jaccard_join.MEETINGS
+
+
+def test_known_shingles_of_all_slices_do_not_meet_in_one_bucket(spark, monkeypatch):
+    """Every slice has the same passage twice; its entries go to buckets by slice, not all to the passage's own."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    made, real = [], DataFrame.mapInArrow
+
+    def recorded(self, *a, **k):
+        made.append(real(self, *a, **k))
+        return made[-1]
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", recorded)
+    docs = spark.range(32, numPartitions=16).select(F.col("id").alias("row"), F.col("id").alias("doc"), F.concat(F.lit("one two three four five w"), "id").alias("text"))
+    sets = jaccard_join.shared_sets(docs, 4, 50)
+    per = made[0].filter(F.col("kind") == jaccard_join._KNOWN).groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in per) == 16 and max(r["count"] for r in per) <= 8
+    assert [(r.n, len(jaccard_join.unpacked_set(r.shared))) for r in sets.collect()] == [(3, 2)] * 32

@@ -8,7 +8,8 @@ is inexact. Links are looked for as follows.
 1. Shared shingles. Each shingle's inverted list is scanned for a single bit: has any other set the shingle? A set
    links only if enough of its shingles are shared. What no other set has can be in no intersection, so from here on a
    set is its shared shingles and its full size. Shingles that meet within one slice of texts are known to be shared
-   there; each slice sends one entry for them, so a shingle of half of all documents makes no long list.
+   there; each slice sends one entry for them, so a shingle of half of all documents makes no long list. The rows that
+   have them pass through the buckets of shingles in pieces, from a bucket on that the slice's first row gives.
 2. Equal sets become one class with one representative.
 3. Keys. Light sets (size up to the boundary) enumerate their subsets of fixed sizes: of sizes that any partner's
    intersection must reach, so linked light sets have a subset in common. Heavy sets, and light ones that can link to
@@ -43,6 +44,8 @@ SHINGLE = 4
 PERCENT = 85
 #: Bytes of text for each bucket of documents, and of shingles; and whose shingles a task gathers before it sends them.
 DOC_BUCKET, KEY_BUCKET, SEND = 8 << 20, 8 << 20, 8 << 20
+#: Entries known to be shared that go to a bucket of shingles at once.
+KNOWN_PIECE = 1 << 14
 #: Sizes for which the cost of subsets is reckoned; beyond, it exceeds any list's.
 LIGHTEST, LIGHT_LIMIT = 1, 24
 #: Lists in which heavy sets must meet to be compared. Sets that link and have so many shingles in common do, as the
@@ -103,6 +106,14 @@ def sets_of(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
+def pieces(entries: dict[str, np.ndarray], slice_: int, n: int):
+    """(bucket, blob) of a slice's entries, KNOWN_PIECE at once, to one of n buckets after the other: whatever shingles the
+    slices have in common, no bucket gets more of their entries than others."""
+    first = int(mix(np.array([slice_], np.int64).view(np.uint64))[0] % np.uint64(n))
+    for i, a in enumerate(range(0, len(entries["key"]), KNOWN_PIECE)):
+        yield (first + i) % n, pack(_ENTRY, {f: v[a : a + KNOWN_PIECE] for f, v in entries.items()})
+
+
 def shared_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """docs: row (unique), doc, text. Returns row, doc, n, sig for every document and, where the set may have a link
     and no smaller row of its slice has the same set, its shared shingles, packed sorted numbers of 56 bits."""
@@ -122,17 +133,19 @@ def shared_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             if sets:
                 parts = list(sets.values())
                 row = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-                key = np.concatenate([p[1] for p in parts]) >> np.uint64(8)
+                key = np.concatenate([p[1] for p in parts])
+                sets, parts = {}, []
+                key >>= np.uint64(8)
                 o = np.argsort(key, kind="stable")
                 key, row = key[o], row[o]
+                del o
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
                 size = np.diff(np.append(first, len(key)))
                 once = {"key": key[first], "row": np.where(size > 1, -1, row[first])}
                 rows += [(_WORK, b, x) for b, x in dealt(_ENTRY, once, (once["key"] % np.uint64(n_keys)).astype(np.int64))]
                 known = np.repeat(size > 1, size)
-                if known.any():
-                    met = {"key": key[known], "row": row[known]}
-                    rows.append((_KNOWN, int(met["key"][0] % np.uint64(n_keys)), pack(_ENTRY, met)))
+                met = {"key": key[known], "row": row[known]}
+                rows += [(_KNOWN, b, x) for b, x in pieces(met, about[0][0], n_keys)]
             sets, about, seen = {}, [], 0
             return _table(rows).to_batches()
 
@@ -154,7 +167,8 @@ def shared_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         blobs, known = _split(t)
         e, _ = unpacked(_ENTRY, blobs)
         o = np.argsort(e["key"], kind="stable")
-        key, row = e["key"][o], e["row"][o]
+        key, row = e.pop("key")[o], e.pop("row")[o]
+        del blobs, o
         same = np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.empty(0, bool)
         met = (same | np.append(same[1:], False)) & (row >= 0) if len(key) else same
         k, _ = unpacked(_ENTRY, known)

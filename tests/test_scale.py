@@ -318,3 +318,24 @@ def test_masked_candidates_do_not_pull_vectors(spark, points, monkeypatch, metri
     assert "CoGroups" in plan_of(found) and "SortMergeJoin" not in plan_of(found)
     pairs = b.crossJoin(q).filter("(id + qid) % 3 <> 0").select("qid", "id", distance(metric, "q", "vec").alias("dist"))
     assert by_query(found) == by_query(topk(pairs, 5))
+
+
+def test_candidates_are_computed_once(spark, points):
+    """The rerank goes block by block of queries, but asks for its candidates once; the best codes are those of all pairs."""
+    b = frame(spark, points)
+    i, q = ivf.IVFIndex.build(b, 3, iters=1), asks(b)
+    book = pq.sampled_codebook(i, 3, 8)
+    probes, codes = i.route(q, 2), pq.encode(i, book)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pq, "RERANK_BLOCK", 2)
+        found = pq.adc(codes, i, book, q, probes, 7)
+        got = by_query(pq.rerank(found.mapInArrow(count, found.schema), b, q, 3))
+    assert seen.value == found.count() == 7 * q.count() and len(got) > 2
+    assert by_query(found) == by_query(pq.adc_sql(codes, i, book, q, probes, 7))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vexel.functions.vector import distance
 from vexel.operators.ivf import IVFIndex
-from vexel.operators.kernels import exact, matrix, nearest
+from vexel.operators.kernels import candidates, exact, matrix, nearest
 from vexel.operators.kmeans import DIGITS, added, start_order, start_place
 from vexel.operators.topk import topk
 
@@ -21,6 +21,8 @@ SAMPLE = 4_000_000
 RERANK = 512
 #: Queries whose candidates travel at once: with RERANK candidates each, some 8 MB.
 RERANK_BLOCK = 1024
+#: Queries whose best codes a task holds, those of them that are asked at once, and pairs that are measured at once.
+ADC_BLOCK, ASKED, PAIRS = 4096, 256, 1 << 16
 
 
 def subdims(dim: int, m: int) -> list[int]:
@@ -56,6 +58,20 @@ class Codebook:
         e = self.edges
         return np.stack([((w - x[e[i] : e[i + 1]]) ** 2).sum(1) for i, w in enumerate(self.words)])
 
+    def measured(self, q: np.ndarray, centroids: np.ndarray, r: np.ndarray, cid: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of pairs: query r with a row of list cid and these codes; as tables() has them, added up
+        from the first subspace to the last."""
+        e, out = self.edges, np.zeros(len(r))
+        for a in range(0, len(r), PAIRS):
+            rest = q[r[a : a + PAIRS]] - centroids[cid[a : a + PAIRS]]
+            for i, w in enumerate(self.words):
+                code, x = codes[a : a + PAIRS, i], rest[:, e[i] : e[i + 1]]
+                if w.shape[1] < 8:  # few values: sum() takes them one after the other, too
+                    out[a : a + PAIRS] += reduce(np.add, ((w[:, j][code] - x[:, j]) ** 2 for j in range(w.shape[1])))
+                else:
+                    out[a : a + PAIRS] += ((w[code] - x) ** 2).sum(1)
+        return out
+
     def frame(self, spark) -> DataFrame:
         rows = [(i, c, w[c].tolist()) for i, w in enumerate(self.words) for c in range(len(w))]
         return spark.createDataFrame(rows, "m int, code int, cw array<double>")
@@ -151,47 +167,48 @@ def encode(index: IVFIndex, book: Codebook) -> DataFrame:
 
 
 def adc(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFrame, probes: DataFrame, n: int) -> DataFrame:
-    """qid, rank, id, dist: the n best codes by asymmetric distance, exactly the n best. The tables of a query and a
-    list are made where the list's rows are; only codes are read, and n rows a query leave a batch."""
+    """qid, rank, id, dist: the n best codes by asymmetric distance, exactly the n best. A code stands for its list's
+    centroid and its words; a matrix product with those rules out pairs, the rest is added up subspace by subspace where
+    the list's rows are. Only codes are read, and n rows a query leave a task."""
     from vexel.operators.brute import query_blocks
 
     spark, parts = codes.sparkSession, []
-    for ids, q in query_blocks(queries, 1024):
-        mine = probes.filter(F.col("qid").between(int(ids.min()), int(ids.max()))).select("qid", "cid").collect()
-        row = {int(x): i for i, x in enumerate(ids)}
-        asks: dict[int, list[int]] = {}
-        for r in mine:
-            if r.qid in row:
-                asks.setdefault(r.cid, []).append(row[r.qid])
+    for ids, q in query_blocks(queries, ADC_BLOCK):
+        mine = probes.filter(F.col("qid").between(int(ids.min()), int(ids.max()))).select(F.col("qid").cast("long").alias("qid"), "cid").toArrow()
+        at = np.minimum(np.searchsorted(ids, mine.column("qid").to_numpy()), len(ids) - 1)
+        ok = ids[at] == mine.column("qid").to_numpy()
+        asks = np.zeros((len(ids), index.nlist), bool)
+        asks[at[ok], mine.column("cid").to_numpy()[ok]] = True
         shared = spark.sparkContext.broadcast((ids, q, asks, index.centroids, book))
 
         def work(batches, shared=shared):
             ids, q, asks, c, book = shared.value
-            tables: dict[tuple, np.ndarray] = {}
+            best: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * -(-len(q) // ASKED)
             for b in batches:
                 if not b.num_rows:
                     continue
-                own, cids = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+                own, cid = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
                 x = matrix(b.column(2), book.m).astype(np.int64)
-                for cid in np.unique(cids).tolist():
-                    rows = np.flatnonzero(cids == cid)
-                    for a in asks.get(cid, ()):
-                        if (a, cid) not in tables:
-                            if len(tables) > 4096:
-                                tables.clear()
-                            tables[a, cid] = book.tables(q[a] - c[cid])
-                        t = tables[a, cid]
-                        d = np.cumsum(t[np.arange(book.m), x[rows]], axis=1)[:, -1]
-                        if len(d) > n:
-                            edge = np.partition(d, n - 1)[n - 1]
-                            pick = np.flatnonzero(d <= edge)
-                        else:
-                            pick = np.arange(len(d))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), ids[a])), pa.array(own[rows[pick]]), pa.array(d[pick])], names=["qid", "id", "dist"])
-
-        probed = spark.createDataFrame([(c,) for c in asks], "cid int")
+                near = c[cid] + book.decode(x)
+                for i, a in enumerate(range(0, len(q), ASKED)):
+                    rows = np.flatnonzero(asks[a : a + ASKED].any(0)[cid])
+                    if not len(rows):
+                        continue
+                    r, v = candidates(q[a : a + ASKED], near[rows], n, "l2", asks[a : a + ASKED][:, cid[rows]])
+                    v = rows[v]
+                    d = book.measured(q[a : a + ASKED], c, r, cid[v], x[v])
+                    ok = np.isfinite(d)
+                    r, j, d = (np.concatenate([y, z]) for y, z in zip(best[i], (r[ok], own[v[ok]], d[ok]), strict=True))
+                    o = np.lexsort((j, d, r))
+                    o = o[np.arange(len(o)) - np.searchsorted(r[o], r[o]) < n]
+                    best[i] = r[o], j[o], d[o]
+            for i, (r, j, d) in enumerate(best):
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i * ASKED + r]), pa.array(j), pa.array(d)], names=["qid", "id", "dist"])
+
+        probed = spark.createDataFrame(pa.table({"cid": pa.array(np.flatnonzero(asks.any(0)), pa.int32())}))
         touched = codes.join(F.broadcast(probed), "cid", "left_semi")
-        parts.append(touched.select("id", "cid", "codes").mapInArrow(work, "qid bigint, id bigint, dist double"))
+        parts.append(touched.select(F.col("id").cast("long").alias("id"), "cid", "codes").mapInArrow(work, "qid bigint, id bigint, dist double"))
     if not parts:
         return spark.createDataFrame([], "qid bigint, rank int, id bigint, dist double")
     found = parts[0]
@@ -218,13 +235,14 @@ def adc_sql(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFram
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Exact distances of distinct candidates. Block by block of queries, their candidates are sent to where the vectors
+    """Exact distances of distinct candidates, which are computed once. Block by block of queries, their candidates are sent to where the vectors
     are, RERANK_BLOCK queries times their candidates at once; vectors are not moved, and only k rows a query leave a batch."""
     from vexel.operators.brute import query_blocks
 
     spark, parts = base.sparkSession, []
+    candidates = candidates.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id")).distinct().persist()
     for qids, q in query_blocks(queries, RERANK_BLOCK):
-        mine = candidates.filter(F.col("qid").between(int(qids.min()), int(qids.max()))).select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id")).distinct().toArrow()
+        mine = candidates.filter(F.col("qid").between(int(qids.min()), int(qids.max()))).toArrow()
         at = np.minimum(np.searchsorted(qids, mine.column("qid").to_numpy()), len(qids) - 1)
         ok = qids[at] == mine.column("qid").to_numpy()
         own, row = mine.column("id").to_numpy()[ok], at[ok]
@@ -251,6 +269,7 @@ def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, m
                     yield pa.RecordBatch.from_arrays([pa.array(qids[asks[best]]), pa.array(ids[best]), pa.array(d[best])], names=["qid", "id", "dist"])
 
         parts.append(base.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(work, "qid bigint, id bigint, dist double"))
+    candidates.unpersist()
     if not parts:
         return spark.createDataFrame([], "qid bigint, rank int, id bigint, dist double")
     found = parts[0]
@@ -261,9 +280,12 @@ def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, m
 
 def pq_search(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFrame, k: int, nprobe: int, rerank_n: int = RERANK) -> DataFrame:
     """Candidates by codes, then exact distances within the shards of the probed lists."""
-    probes = index.route(queries, nprobe)
-    found = adc(codes, index, book, queries, probes, max(rerank_n, k))
-    return rerank(found, index._shards_of(probes), queries, k, index.metric)
+    probes, codes = index.route(queries, nprobe), codes.persist()
+    try:
+        found = adc(codes, index, book, queries, probes, max(rerank_n, k))
+        return rerank(found, index._shards_of(probes), queries, k, index.metric)
+    finally:
+        codes.unpersist()
 
 
 __all__ = ["Codebook", "adc", "adc_sql", "encode", "pq_search", "rerank", "residuals", "sampled_codebook", "subdims", "train"]

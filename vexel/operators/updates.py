@@ -105,13 +105,17 @@ def overlay_search(index: IVFIndex, queries: DataFrame, k: int, nprobe: int, del
 
 def pq_overlay_search(codes: DataFrame, index: IVFIndex, book: Codebook, queries: DataFrame, k: int, nprobe: int, delta: DataFrame, deleted: DataFrame | Column | None = None, rerank_n: int = RERANK) -> DataFrame:
     """The overlay over codes: candidates of the published codes and of the inserted rows', encoded alike, then one
-    exact rerank. Deleted rows are left out before the candidates are chosen."""
+    exact rerank. Deleted rows are left out before the candidates are chosen. Codes and candidates are computed once."""
     segment = IVFIndex(index.centroids, delta.select("id", "cid", "vec"), index.metric)
     new, probes = without(encode(segment, book), deleted), index.route(queries, nprobe)
-    codes = without(codes, deleted)
-    n = max(rerank_n, k)
-    found = adc(codes, index, book, queries, probes, n).unionByName(adc(new, index, book, queries, probes, n))
-    return rerank(found, index.lists.select("id", "vec").unionByName(delta.select("id", "vec")), queries, k, index.metric)
+    codes, new = without(codes, deleted).persist(), new.persist()
+    try:
+        n = max(rerank_n, k)
+        found = adc(codes, index, book, queries, probes, n).unionByName(adc(new, index, book, queries, probes, n))
+        return rerank(found, index.lists.select("id", "vec").unionByName(delta.select("id", "vec")), queries, k, index.metric)
+    finally:
+        codes.unpersist()
+        new.unpersist()
 
 
 @dataclass(frozen=True)
